@@ -84,7 +84,8 @@ def with_next(series: DataFrame, key: str = "sensor_id") -> DataFrame:
 def gap_fill(medians: DataFrame, limit: int = 5) -> DataFrame:
     """Fill the first ``limit`` missing minutes of every inner gap on the straight line."""
     gap = F.col("next_minute") - F.col("minute")
-    steps = F.coalesce(F.least(F.lit(limit).cast("long"), gap - 1), F.lit(0).cast("long"))
+    # the last reading of a series has no next one and opens no gap
+    steps = F.least(F.lit(limit).cast("long"), F.coalesce(gap, F.lit(1).cast("long")) - 1)
     return (
         with_next(medians)
         .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
