@@ -17,7 +17,7 @@ from checks.duck_sql import statements
 from hygroflow.functions import clock, parsing, scoring
 from hygroflow.operators import buckets as bk
 from hygroflow.operators import events as ev
-# linkage
+from hygroflow.operators import linkage as lk
 from hygroflow.operators import series as sr
 from hygroflow.plans import customs as cu
 from hygroflow.plans import dashboard as db
@@ -121,6 +121,16 @@ class _Bench(Testbed):
         return ev.anchors(self.events())
 
 
+    def rows_a(self):
+        return lk.prepared(self.names_a())
+
+    def rows_b(self):
+        return lk.prepared(self.names_b())
+
+    def forms(self):
+        return lk.forms(self.rows_a()), lk.forms(self.rows_b())
+
+
 def _ts_of(b: _Bench, per_anchor: DataFrame) -> DataFrame:
     """Per-anchor rows spread over the distinct event times."""
     return b.events().select("ts", *ev.ANCHOR).distinct().join(per_anchor, ev.ANCHOR)
@@ -326,6 +336,20 @@ def distinct_events(b):
     return b.events().select("ts", "exec_secs", "state")
 
 
+def name_normalize(b):
+    return b.rows_a().unionByName(b.rows_b())
+
+
+def match_parts(b):
+    return lk.with_parts(lk.equality_pairs(*b.forms())).select("norm_a", "norm_b", "contain", "acronym")
+
+
+def match_jw(b):
+    return lk.with_parts(lk.equality_pairs(*b.forms())).select(
+        "norm_a", "norm_b", F.col("char").alias("jaro_winkler")
+    )
+
+
 _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "snapshot_counts": snapshot_counts,
     "weather_explode": weather_explode,
@@ -385,6 +409,12 @@ _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "time_slots": time_slots,
     "local_clock": local_clock,
     "distinct_events": distinct_events,
+    "name_normalize": name_normalize,
+    "match_candidates": lambda b: lk.block_sizes(b.rows_a(), b.rows_b()),
+    "match_parts": match_parts,
+    "match_jw": match_jw,
+    "match_scored": lambda b: lk.match_scored(*b.forms()),
+    "match_best": lambda b: lk.match_best(b.rows_a(), b.rows_b()),
 }
 
 

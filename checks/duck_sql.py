@@ -350,6 +350,29 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                avg(value_avg) FILTER (WHERE medida = 'w_temp') AS w_temp
         FROM measures WHERE fecha_hora >= '2024-01-03' AND fecha_hora < '2024-01-05'
              AND medida IN ('Temperature 1', 'Temperature 2', 'w_temp') GROUP BY 1"""),
+    # -- names ------------------------------------------------------------------------------
+    "names": ((), """
+        SELECT 'a' AS side, raw FROM (SELECT DISTINCT p_name || ' Inc.' AS raw FROM part)
+        UNION ALL
+        SELECT 'b', raw FROM (SELECT DISTINCT upper(p_name) || ' & ' || p_brand || ' GmbH' AS raw FROM part)"""),
+    "normed": (("names",), """
+        SELECT side, raw, norm, array_to_string(list_transform(string_split(norm, ' '), lambda w: left(w, 1)), '') AS acr,
+               left(norm, 4) AS block
+        FROM (SELECT side, raw, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(
+                  replace(lower(raw), '&', ' and '), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '),
+                  lambda w: w NOT IN ('ltd', 'limited', 'inc', 'llc', 'corp', 'corporation', 'co', 'company',
+                                      'gmbh', 'sarl', 'sa', 'bv', 'plc', 'oy', 'ag', 'kg')), ' ') AS norm
+              FROM names)"""),
+    "form_pairs": (("normed",), """
+        SELECT a.norm AS norm_a, b.norm AS norm_b, a.n AS n_rows_a, b.n AS n_rows_b, b.name,
+               a.acr AS acr_a, b.acr AS acr_b,
+               CASE WHEN contains(a.norm, b.norm) OR contains(b.norm, a.norm)
+                    THEN least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm))
+                    ELSE 0.0 END AS contain,
+               CASE WHEN a.acr = b.norm OR b.acr = a.norm OR a.acr = b.acr THEN 1.0 ELSE 0.0 END AS acronym
+        FROM (SELECT norm, acr, block, count(*) AS n FROM normed WHERE side = 'a' GROUP BY ALL) a
+        JOIN (SELECT norm, acr, block, count(*) AS n, min(raw) AS name FROM normed WHERE side = 'b' GROUP BY ALL) b
+             USING (block)"""),
     # -- significance ------------------------------------------------------------------------
     "tests": (("net",), """
         SELECT *, n - 1 AS nu, mean / (std / sqrt(n)) AS t FROM (
@@ -578,6 +601,16 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         SELECT sensor_id, ts, local_ts, time_bucket(INTERVAL '10 minutes', local_ts) AS local_bucket,
                CAST(CAST(local_ts AS DATE) AS VARCHAR) AS day, CAST(extract('hour' FROM local_ts) AS INTEGER) AS hour
         FROM readings"""),
+    "name_normalize": (("normed",), "SELECT raw, norm, acr, block FROM normed"),
+    "match_candidates": (("normed",), """
+        SELECT block, count(DISTINCT a.raw) AS n_a, count(DISTINCT b.raw) AS n_b, count(*) AS n_pairs
+        FROM (FROM normed WHERE side = 'a') a JOIN (FROM normed WHERE side = 'b') b USING (block) GROUP BY block"""),
+    "match_parts": (("form_pairs",), f"""
+        SELECT {_cols('norm_a, norm_b, acronym', 'contain')} FROM form_pairs
+        WHERE contain > 0 OR acr_a = norm_b OR acr_b = norm_a"""),
+    "match_jw": (("form_pairs",), f"""
+        SELECT norm_a, norm_b, {_r('jaro_winkler_similarity(norm_a, norm_b)', 'jaro_winkler')} FROM form_pairs
+        WHERE contain > 0 OR acr_a = norm_b OR acr_b = norm_a"""),
     "distinct_events": (("events2",), "SELECT ts, exec_secs, state FROM events2"),
 }
 
