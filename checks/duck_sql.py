@@ -373,6 +373,35 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         FROM (SELECT norm, acr, block, count(*) AS n FROM normed WHERE side = 'a' GROUP BY ALL) a
         JOIN (SELECT norm, acr, block, count(*) AS n, min(raw) AS name FROM normed WHERE side = 'b' GROUP BY ALL) b
              USING (block)"""),
+    "token_sets": (("form_pairs",), """
+        SELECT *, CASE WHEN sect = '' THEN ra ELSE trim(sect || ' ' || ra) END AS with_a,
+               CASE WHEN sect = '' THEN rb ELSE trim(sect || ' ' || rb) END AS with_b
+        FROM (SELECT *, array_to_string(list_sort(list_filter(wa, lambda w: list_contains(wb, w))), ' ') AS sect,
+                     array_to_string(list_sort(list_filter(wa, lambda w: NOT list_contains(wb, w))), ' ') AS ra,
+                     array_to_string(list_sort(list_filter(wb, lambda w: NOT list_contains(wa, w))), ' ') AS rb
+              FROM (SELECT *, list_distinct(string_split(norm_a, ' ')) AS wa,
+                           list_distinct(string_split(norm_b, ' ')) AS wb FROM form_pairs))"""),
+    # longest common subsequence by the classic table, one row per character of the left text
+    "subsequences": (("token_sets",), """
+        SELECT *, list_reduce(
+            list_transform(string_split(with_a, ''), lambda c: [ord(c)]),
+            lambda above, ch: list_reduce(
+                list_transform(range(1, len(with_b) + 1), lambda j: [CAST(j AS INTEGER), ord(with_b[j])]),
+                lambda line, cell: list_append(line, greatest(line[-1], above[cell[1] + 1],
+                                            above[cell[1]] + (CASE WHEN cell[2] = ch[1] THEN 1 ELSE 0 END))),
+                [0]),
+            list_transform(range(0, len(with_b) + 1), lambda j: 0))[-1] AS lcs
+        FROM token_sets"""),
+    "scored": (("subsequences",), """
+        SELECT *, round_even(0.35 * token + 0.25 * jaro_winkler_similarity(norm_a, norm_b)
+                             + 0.2 * contain + 0.2 * acronym, 4) AS score
+        FROM (SELECT *, CASE WHEN sect <> '' AND (ra = '' OR rb = '') THEN 1.0
+                             WHEN sect = '' THEN 2 * lcs / (len(with_a) + len(with_b))
+                             ELSE greatest(2 * lcs / (len(with_a) + len(with_b)),
+                                           2 * len(sect) / (len(sect) + len(with_a)),
+                                           2 * len(sect) / (len(sect) + len(with_b))) END AS token
+              FROM subsequences)
+        WHERE norm_a <> '' AND norm_b <> ''"""),
     # -- significance ------------------------------------------------------------------------
     "tests": (("net",), """
         SELECT *, n - 1 AS nu, mean / (std / sqrt(n)) AS t FROM (
@@ -611,6 +640,12 @@ _FINAL: dict[str, tuple[tuple, str]] = {
     "match_jw": (("form_pairs",), f"""
         SELECT norm_a, norm_b, {_r('jaro_winkler_similarity(norm_a, norm_b)', 'jaro_winkler')} FROM form_pairs
         WHERE contain > 0 OR acr_a = norm_b OR acr_b = norm_a"""),
+    "match_scored": (("scored",), f"""
+        SELECT {_cols('norm_a, norm_b, n_rows_a, n_rows_b', 'score')} FROM scored WHERE score >= 0.6"""),
+    "match_best": (("scored", "normed"), f"""
+        SELECT n.raw AS company_a, arg_min(name, (-score, name)) AS company_b, {_r('max(score)', 'score')}
+        FROM scored s JOIN normed n ON n.side = 'a' AND n.norm = s.norm_a
+        WHERE score >= 0.6 GROUP BY n.raw"""),
     "distinct_events": (("events2",), "SELECT ts, exec_secs, state FROM events2"),
 }
 
