@@ -354,7 +354,8 @@ _TABLES: dict[str, tuple[tuple, str]] = {
     "names": ((), """
         SELECT 'a' AS side, raw FROM (SELECT DISTINCT p_name || ' Inc.' AS raw FROM part)
         UNION ALL
-        SELECT 'b', raw FROM (SELECT DISTINCT upper(p_name) || ' & ' || p_brand || ' GmbH' AS raw FROM part)"""),
+        SELECT 'b', raw FROM (SELECT upper(p_name) || ' & ' || p_brand || ' GmbH' AS raw FROM part
+                              UNION SELECT p_name || 's Ltd.' FROM part)"""),
     "normed": (("names",), """
         SELECT side, raw, norm, array_to_string(list_transform(string_split(norm, ' '), lambda w: left(w, 1)), '') AS acr,
                left(norm, 4) AS block
@@ -367,7 +368,7 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         SELECT a.norm AS norm_a, b.norm AS norm_b, a.n AS n_rows_a, b.n AS n_rows_b, b.name,
                a.acr AS acr_a, b.acr AS acr_b,
                CASE WHEN contains(a.norm, b.norm) OR contains(b.norm, a.norm)
-                    THEN least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm))
+                    THEN least(length(a.norm), length(b.norm))::DOUBLE / greatest(length(a.norm), length(b.norm))
                     ELSE 0.0 END AS contain,
                CASE WHEN a.acr = b.norm OR b.acr = a.norm OR a.acr = b.acr THEN 1.0 ELSE 0.0 END AS acronym
         FROM (SELECT norm, acr, block, count(*) AS n FROM normed WHERE side = 'a' GROUP BY ALL) a
@@ -393,14 +394,16 @@ _TABLES: dict[str, tuple[tuple, str]] = {
             list_transform(range(0, len(with_b) + 1), lambda j: 0))[-1] AS lcs
         FROM token_sets"""),
     "scored": (("subsequences",), """
-        SELECT *, round_even(0.35 * token + 0.25 * jaro_winkler_similarity(norm_a, norm_b)
-                             + 0.2 * contain + 0.2 * acronym, 4) AS score
-        FROM (SELECT *, CASE WHEN sect <> '' AND (ra = '' OR rb = '') THEN 1.0
-                             WHEN sect = '' THEN 2 * lcs / (len(with_a) + len(with_b))
-                             ELSE greatest(2 * lcs / (len(with_a) + len(with_b)),
-                                           2 * len(sect) / (len(sect) + len(with_a)),
-                                           2 * len(sect) / (len(sect) + len(with_b))) END AS token
-              FROM subsequences)
+        SELECT *, CAST(printf('%.4f', 0.35 * (ratio / 100) + 0.25 * jaro_winkler_similarity(norm_a, norm_b)
+                              + 0.2 * contain + 0.2 * acronym) AS DOUBLE) AS score
+        FROM (SELECT *, CASE WHEN sect <> '' AND (ra = '' OR rb = '') THEN 100.0::DOUBLE
+                             WHEN sect = '' THEN whole
+                             ELSE greatest(whole, 100.0::DOUBLE - 100.0::DOUBLE * (len(with_a) - len(sect)) / (len(sect) + len(with_a)),
+                                           100.0::DOUBLE - 100.0::DOUBLE * (len(with_b) - len(sect)) / (len(sect) + len(with_b)))
+                        END AS ratio
+              FROM (SELECT *, 100.0::DOUBLE - 100.0::DOUBLE * (len(with_a) + len(with_b) - 2 * lcs)
+                                              / (len(with_a) + len(with_b)) AS whole
+                    FROM subsequences))
         WHERE norm_a <> '' AND norm_b <> ''"""),
     # -- significance ------------------------------------------------------------------------
     "tests": (("net",), """

@@ -47,9 +47,9 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _indel_ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 100.0 * 2 * common_subsequence(a, b) / total if total else 100.0
+def _ratio(distance: int, total: int) -> float:
+    """0..100 from the number of unmatched characters and both lengths."""
+    return 100.0 - 100.0 * distance / total if total else 100.0
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -62,13 +62,15 @@ def token_set_ratio(a: str, b: str) -> float:
     )
     if shared and (not rest_a or not rest_b):
         return 100.0
-    glue = " " if shared else ""
-    with_a, with_b = shared + glue + rest_a, shared + glue + rest_b
-    best = _indel_ratio(with_a, with_b)
-    if shared:  # the shared words are a prefix of both, so their LCS is their length
+    lead = len(shared) + 1 if shared else 0
+    size_a, size_b = lead + len(rest_a), lead + len(rest_b)
+    # the shared words lead both texts, so only the remainders can differ
+    unmatched = len(rest_a) + len(rest_b) - 2 * common_subsequence(rest_a, rest_b)
+    best = _ratio(unmatched, size_a + size_b)
+    if shared:
         best = max(
             best,
-            100.0 * 2 * len(shared) / (len(shared) + len(with_a)),
-            100.0 * 2 * len(shared) / (len(shared) + len(with_b)),
+            _ratio(1 + len(rest_a), len(shared) + size_a),
+            _ratio(1 + len(rest_b), len(shared) + size_b),
         )
     return best

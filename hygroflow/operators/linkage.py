@@ -16,7 +16,6 @@ Names are compared once per normalised form, so copies cost nothing.
 
 from __future__ import annotations
 
-import decimal
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from hygroflow.functions.similarity import jaro_winkler, token_set_ratio
 from hygroflow.settings import MatchRule
 
 TILE = 1000
+DIGITS = 4
 
 # Without containment and acronym the score is at most 0.35 + 0.25, so reaching
 # 0.6 takes Jaro-Winkler >= 0.9998, that is Jaro >= 0.99966: at most one
@@ -71,34 +71,38 @@ def block_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # -- equality sources ---------------------------------------------------------------
-def _stretches(norm: Column, block: Column) -> Column:
-    """All stretches of ``norm`` that start with its own block key and are no shorter."""
+def _stretch_keys(norm: Column, block: Column) -> Column:
+    """Hashes of all stretches of ``norm`` that start with its own block key and are no shorter."""
     size = F.length(block)
     starts = F.filter(
-        F.sequence(F.lit(1), F.length(norm)), lambda p: F.substr(norm, p, size) == block
+        F.sequence(F.lit(1), F.length(norm) - size + 1), lambda p: F.substr(norm, p, size) == block
     )
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda p: F.when(
-                    p + size - 1 <= F.length(norm),
-                    F.transform(
-                        F.sequence(size, F.length(norm) - p + 1), lambda n: F.substr(norm, p, n)
-                    ),
-                ).otherwise(F.array().cast("array<string>")),
-            )
+    return F.flatten(
+        F.transform(
+            starts,
+            lambda p: F.transform(
+                F.sequence(size, F.length(norm) - p + 1), lambda n: F.xxhash64(F.substr(norm, p, n))
+            ),
         )
     )
 
 
 def _held_in(longer: DataFrame, shorter: DataFrame, longer_as: str, shorter_as: str) -> DataFrame:
-    keys = longer.select(
-        F.col("norm").alias(longer_as), "block", F.explode(_stretches(F.col("norm"), F.col("block"))).alias("key")
+    """Pairs in which the first name holds the second.
+
+    Only two numbers per stretch are shuffled.  The texts come back for the
+    hits and settle them, so a hash collision cannot add a pair.
+    """
+    number = F.xxhash64("norm")
+    stretches = longer.select(
+        number.alias("id"), F.explode(_stretch_keys(F.col("norm"), F.col("block"))).alias("key")
     )
-    return keys.join(
-        shorter.select(F.col("norm").alias("key"), "block"), ["key", "block"]
-    ).select(longer_as, F.col("key").alias(shorter_as))
+    hits = stretches.join(
+        shorter.select(F.col("norm").alias(shorter_as), "block", number.alias("key")), "key"
+    ).select("id", shorter_as, "block")
+    return hits.join(
+        longer.select(F.col("norm").alias(longer_as), "block", number.alias("id")), ["id", "block"]
+    ).where(F.contains(F.col(longer_as), F.col(shorter_as)))
 
 
 def equality_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -147,12 +151,21 @@ def with_parts(pairs: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(DoubleType())
+def _rounded(totals: pd.Series) -> pd.Series:
+    """Round the exact binary value; the column functions round its shortest decimal form."""
+    return pd.Series([round(t, DIGITS) for t in totals])
+
+
 def score(rule: MatchRule) -> Column:
-    """Weighted sum of the parts, half-even at four places."""
-    total = F.lit(0.0)
-    for part, weight in rule.weights.items():
-        total = total + F.lit(weight) * F.col(part)
-    return F.bround(total, 4)
+    """Weighted sum of the parts at four places."""
+    w = rule.weights
+    return _rounded(
+        w["token"] * F.col("token")
+        + w["char"] * F.col("char")
+        + w["contain"] * F.col("contain")
+        + w["acronym"] * F.col("acronym")
+    )
 
 
 # -- tiles ---------------------------------------------------------------------------
@@ -233,7 +246,6 @@ def _upper_bounds(a: pd.DataFrame, b: pd.DataFrame, weights: dict, acronym: np.n
 def _tile_matches(a: pd.DataFrame, b: pd.DataFrame, rule: MatchRule, best_only: bool) -> pd.DataFrame:
     """Matches inside one tile; pairs from the equality sources are left to them."""
     w = rule.weights
-    cent = decimal.Decimal("0.0001")
     agree = (a["acr"].to_numpy()[:, None] == b["acr"].to_numpy()[None, :]).astype(float)
     bounds = _upper_bounds(a, b, w, agree)
     names_b, spellings = b["norm"].tolist(), b["name"].tolist()
@@ -253,7 +265,7 @@ def _tile_matches(a: pd.DataFrame, b: pd.DataFrame, rule: MatchRule, best_only:
                 + w["char"] * jaro_winkler(norm, other)
                 + w["acronym"] * agree[i, j]
             )
-            rounded = float(decimal.Decimal(repr(total)).quantize(cent, decimal.ROUND_HALF_EVEN))
+            rounded = round(float(total), DIGITS)
             if rounded < rule.threshold:
                 continue
             if not best_only:

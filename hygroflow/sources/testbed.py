@@ -170,10 +170,10 @@ class Testbed:
         return self._read("part").select(F.concat("p_name", F.lit(" Inc.")).alias("company")).distinct()
 
     def names_b(self) -> DataFrame:
-        return (
-            self._read("part")
-            .select(
-                F.concat(F.upper("p_name"), F.lit(" & "), "p_brand", F.lit(" GmbH")).alias("company")
-            )
-            .distinct()
+        """Spellings with the brand appended, and plural forms that share acronyms."""
+        part = self._read("part")
+        branded = part.select(
+            F.concat(F.upper("p_name"), F.lit(" & "), "p_brand", F.lit(" GmbH")).alias("company")
         )
+        plural = part.select(F.concat("p_name", F.lit("s Ltd.")).alias("company"))
+        return branded.unionByName(plural).distinct()
