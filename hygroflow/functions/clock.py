@@ -18,14 +18,19 @@ def _epoch() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz")
 
 
-def day_number(ts: Column) -> Column:
-    """Days since 1970-01-01."""
-    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
+def _since_epoch(ts: Column, unit: str) -> Column:
+    """Elapsed time in one unit.  ``ts`` occurs once: filters on the result stay cheap."""
+    return (ts - _epoch()).cast(f"interval {unit}")
 
 
 def minute_index(ts: Column) -> Column:
-    """Whole minutes since 1970-01-01, rounded down."""
-    return day_number(ts).cast("long") * MINUTES_PER_DAY + F.hour(ts) * 60 + F.minute(ts)
+    """Whole minutes since 1970-01-01."""
+    return _since_epoch(ts, "minute").cast("bigint")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01."""
+    return (_since_epoch(ts, "second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
 
 
 def second_of_minute(ts: Column) -> Column:
@@ -33,23 +38,15 @@ def second_of_minute(ts: Column) -> Column:
     return F.date_part(F.lit("SECOND"), ts)
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01."""
-    return minute_index(ts) * 60_000_000 + (second_of_minute(ts) * 1_000_000).cast("long")
-
-
 def from_minute(minute: Column) -> Column:
     """Inverse of :func:`minute_index`."""
     return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"), F.lit(0))
 
 
 def from_micros(us: Column) -> Column:
-    """Inverse of :func:`micros`; days are split off to stay inside the interval fields."""
-    day_us = 86_400_000_000
-    days = F.floor(us / F.lit(day_us)).cast("int")
-    rest = us - days.cast("long") * day_us
-    secs = (rest.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
-    return _epoch() + F.make_dt_interval(days, F.lit(0), F.lit(0), secs)
+    """Inverse of :func:`micros`."""
+    seconds = (us.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def shifted(ts: Column, hours: int) -> Column:

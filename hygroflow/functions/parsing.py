@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 
 def to_number(text: Column) -> Column:
-    """``try_cast`` to DOUBLE without the Java-only spellings.
+    """``try_cast`` to DOUBLE without the Java-only spellings; finite numbers only.
 
     Java parses a type suffix (``1.5d``) and hexadecimal floats; SQL engines
-    and dataframe libraries do not.  The guard looks at single characters only,
-    so it stays inside generated code and costs no regular expression.
+    and dataframe libraries do not.  Replacing the letters those spellings need
+    makes the cast fail.  The text is used once, so a filter on the number does
+    not evaluate it several times, and no regular expression is involved.
     """
-    t = F.lower(F.trim(text))
-    java_suffix = F.right(t, F.lit(1)).isin("d", "f") & ~t.endswith("inf")
-    return F.when(~(java_suffix | t.contains("x")), text.try_cast("double"))
+    return F.translate(text, "dDfFxX", "######").try_cast("double")
+
+
+def to_number_or_infinity(text: Column) -> Column:
+    """As :func:`to_number`, and infinite values keep their meaning."""
+    word = F.lower(F.trim(text))
+    infinite = F.when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf"))).when(
+        word.isin("-inf", "-infinity"), F.lit(float("-inf"))
+    )
+    return F.coalesce(to_number(text), infinite)
 
 
 def to_number32(text: Column) -> Column:

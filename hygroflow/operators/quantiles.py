@@ -34,7 +34,9 @@ def value_band(value: str, per_octave: int = BANDS_PER_OCTAVE) -> str:
         f"(({octave} + {_OFFSET}) * {per_octave}"
         f" + floor((abs({value}) / pow(2.0D, {octave}) - 1) * {per_octave}))"
     )
-    return f"CASE WHEN {value} = 0 THEN 0L WHEN {value} > 0 THEN {band} ELSE -{band} END"
+    # never NULL: a join on the band must not add filters to one side only, or the
+    # two readers of the counts stop sharing their shuffle
+    return f"coalesce(CASE WHEN {value} > 0 THEN {band} WHEN {value} < 0 THEN -{band} END, 0L)"
 
 
 def grouped_quantiles(

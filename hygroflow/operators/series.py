@@ -18,11 +18,12 @@ from hygroflow.settings import MINUTE_BANDS, SENSORS
 
 def in_band(sensor: Column, value: Column, bands: dict) -> Column:
     """Plausibility test; every quantity has its own inclusive band."""
-    test = F.lit(False)
+    test = None
     for quantity, (lo, hi) in bands.items():
         codes = [code for code, (_, q) in SENSORS.items() if q == quantity]
-        test = test | (sensor.isin(codes) & value.between(lo, hi))
-    return test
+        inside = value.between(lo, hi)
+        test = F.when(sensor.isin(codes), inside) if test is None else test.when(sensor.isin(codes), inside)
+    return test.otherwise(F.lit(False))
 
 
 def minute_readings(sensor_data: DataFrame, bands: dict = MINUTE_BANDS) -> DataFrame:

@@ -28,7 +28,7 @@ def has_text(column: Column, text: str) -> Column:
 
 
 def fob_value() -> Column:
-    return parsing.nan_to_null(parsing.to_number(_col(FOB).cast("string")))
+    return parsing.nan_to_null(parsing.to_number_or_infinity(_col(FOB).cast("string")))
 
 
 def predicates(rule: CustomsRule) -> dict[str, Column]:
