@@ -323,10 +323,13 @@ def match_scored(a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule()) -> D
 
 
 def match_best(
-    rows_a: DataFrame, rows_b: DataFrame, rule: MatchRule = MatchRule()
+    rows_a: DataFrame, a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule()
 ) -> DataFrame:
-    """Best partner of every left name; equal scores go to the first name in order."""
-    a, b = forms(rows_a), forms(rows_b)
+    """Best partner of every left name; equal scores go to the first name in order.
+
+    ``a`` and ``b`` are the forms of both lists.  They are read several times,
+    so store them first; ``rows_a`` brings the winners back to all spellings.
+    """
     winner = (
         form_matches(a, b, rule)
         .join(b.select(F.col("norm").alias("norm_b"), "name"), "norm_b")

@@ -190,8 +190,13 @@ def kpi_peak_hours(buckets: DataFrame) -> DataFrame:
         .agg(F.avg("ah_delta").alias("d"))
         .agg(F.max_by("hour", F.struct(F.col("d"), -F.col("hour"))).alias("peak_ah_hour"))
     )
-    one = F.lit(1).alias("_one")  # two single rows side by side
-    return lift.select(one, "*").join(surplus.select(one, "*"), "_one").drop("_one")
+    # two single rows become one
+    nothing = F.lit(None).cast("int")
+    return (
+        lift.select("peak_temp_hour", nothing.alias("peak_ah_hour"))
+        .unionByName(surplus.select(nothing.alias("peak_temp_hour"), "peak_ah_hour"))
+        .agg(F.max("peak_temp_hour").alias("peak_temp_hour"), F.max("peak_ah_hour").alias("peak_ah_hour"))
+    )
 
 
 def ah_correlation(buckets: DataFrame) -> DataFrame:
@@ -229,14 +234,14 @@ def kpi_pump(daily_events: DataFrame) -> DataFrame:
 
 def days_without_pump(buckets: DataFrame, pump: DataFrame) -> DataFrame:
     """Sensor days, and those of them without a pump attempt (set difference)."""
-    days = buckets.select("day").distinct()
-    idle = days.join(pump.select(F.col("local_day").alias("day")), "day", "left_anti")
+    active = pump.select(F.col("local_day").alias("day"), F.lit(True).alias("active"))
     return (
-        days.withColumn("idle", F.lit(0))
-        .unionByName(idle.withColumn("idle", F.lit(1)))
+        buckets.select("day")
+        .distinct()
+        .join(active, "day", "left")
         .agg(
-            F.count_if(F.col("idle") == 0).alias("n_sensor_days"),
-            F.count_if(F.col("idle") == 1).alias("n_no_pump_days"),
+            F.count(F.lit(1)).alias("n_sensor_days"),
+            F.count_if(F.col("active").isNull()).alias("n_no_pump_days"),
         )
     )
 

@@ -55,15 +55,31 @@ def attempts(actuator_measure: DataFrame, period: Clock = OPERATIONS_CLOCK) -> D
 
 
 def attempts_by_state(rows: DataFrame) -> DataFrame:
-    """Attempts per day and state on an unbroken calendar; days without attempts are zero."""
+    """Attempts per day and state on an unbroken calendar; days without attempts are zero.
+
+    The daily counts (one entry per calendar day) are laid over the day
+    sequence inside one row, so the attempts are read once.
+    """
+    names = [*(f"s{s}" for s in STATES), "total"]
     counts = rows.groupBy("day").agg(
         *[F.count_if(F.col("state") == s).alias(f"s{s}") for s in STATES],
         F.count(F.lit(1)).alias("total"),
     )
-    spine = counts.agg(
-        F.min(F.col("day").cast("date")).alias("a"), F.max(F.col("day").cast("date")).alias("b")
-    ).select(F.explode(F.sequence("a", "b")).alias("day")).select(F.col("day").cast("string"))
-    return spine.join(counts, "day", "left").na.fill(0)
+    day = F.col("day").cast("date")
+    whole = counts.agg(
+        F.min(day).alias("a"),
+        F.max(day).alias("b"),
+        F.map_from_entries(F.collect_list(F.struct(day.alias("d"), F.struct(*names)))).alias("m"),
+    )
+
+    def entry(d):
+        found = F.try_element_at(F.col("m"), d)
+        return F.struct(
+            d.cast("string").alias("day"),
+            *[F.coalesce(found.getField(n), F.lit(0).cast("long")).alias(n) for n in names],
+        )
+
+    return whole.select(F.inline(F.transform(F.sequence("a", "b"), entry)))
 
 
 def raw_success(daily: DataFrame) -> DataFrame:
@@ -124,19 +140,27 @@ def daily_grades(sensor_data: DataFrame, actuator_measure: DataFrame, period: Cl
             for s in SENSORS
         ]
     )
-    rows = attempts(actuator_measure, period)
-    counts = rows.groupBy("day").agg(
-        *[F.count_if(F.col("state") == s).alias(f"s{s}") for s in STATES],
-        F.count(F.lit(1)).alias("total"),
+    per_window = (
+        attempts(actuator_measure, period)
+        .groupBy("day", clock.bucket(F.col("local_ts")).alias("window_start"))
+        .agg(
+            *[F.count_if(F.col("state") == s).alias(f"s{s}") for s in STATES],
+            F.count(F.lit(1)).alias("total"),
+        )
+    )
+    needed = (F.col("s1") > 0) | (F.col("s2") > 0)
+    counts = per_window.groupBy("day").agg(
+        *[F.sum(c).alias(c) for c in [*(f"s{s}" for s in STATES), "total"]],
+        F.count_if(needed).alias("need"),
+        F.count_if(F.col("s1") > 0).alias("succ"),
     )
-    net = net_success(rows).where(F.col("day") != "total").select("day", F.col("rate_pct").alias("net_pct"))
     first = f"hours_{next(iter(SENSORS))}"
     return (
         wide_hours.join(counts, "day", "full")
         .na.fill(0)
-        .join(net, "day", "left")
         .where((F.col("total") > 0) | (F.col(first) > 0))
         .withColumn("raw_pct", _percent(F.col("s1"), F.nullif(F.col("total"), F.lit(0))))
+        .withColumn("net_pct", _percent(F.col("succ"), F.nullif(F.col("need"), F.lit(0))))
         .select(
             "day",
             *[f"hours_{s}" for s in SENSORS],

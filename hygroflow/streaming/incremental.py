@@ -12,20 +12,33 @@ from hygroflow.functions import clock, parsing
 WEATHER = ["temperature_2m", "relative_humidity_2m", "rain", "surface_pressure", "wind_speed_10m"]
 
 
+COPIES_PER_ROW = 1_000_000
+
+
 def absent(rows: DataFrame, existing: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not among ``existing``; a key with NULL is always absent.
 
-    The existing side is reduced to its distinct keys before the shuffle, so
-    repeated keys there cost nothing.  Rows with a NULL in the key can match
-    nothing and skip the join: they would all hash to one partition.
+    The existing side is reduced to its distinct keys before the shuffle.  Where
+    the key is the whole row, copies are counted first (combined before the
+    shuffle, rows without a key included), only distinct rows are joined, and
+    the copies are laid out again in chunks spread over the cluster.
     """
     keys = list(on)
-    complete = F.lit(True)
-    for key in keys:
-        complete = complete & F.col(key).isNotNull()
-    known = existing.select(*keys).where(complete).distinct()
-    new = rows.where(complete).join(known, keys, "left_anti")
-    return new.select(*rows.columns).unionByName(rows.where(~complete))
+    known = existing.select(*keys).distinct()
+    if set(keys) != set(rows.columns):
+        return rows.join(known, keys, "left_anti").select(*rows.columns)
+    new = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(known, keys, "left_anti")
+    chunk = F.floor((F.col("_n") - 1) / COPIES_PER_ROW)
+    left = F.col("_n") - F.col("_chunk") * COPIES_PER_ROW
+    return (
+        new.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunk)))
+        .repartition(*keys, "_chunk")
+        .withColumn(
+            "_copy",
+            F.explode(F.sequence(F.lit(1).cast("long"), F.least(left, F.lit(COPIES_PER_ROW)))),
+        )
+        .select(*rows.columns)
+    )
 
 
 # -- weather ----------------------------------------------------------------

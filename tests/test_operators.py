@@ -186,6 +186,16 @@ def test_sync_twice(spark):
     assert len(set(ids)) == 3
 
 
+def test_copies_stay_and_come_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(inc, "COPIES_PER_ROW", 3)
+    rows = spark.createDataFrame([("a", 1)] * 7 + [("b", 1)] * 2 + [(None, 1)] * 4, "k string, n int")
+    known = spark.createDataFrame([("b", 1), ("b", 1), (None, 1)], "k string, n int")
+    got = sorted(str(r["k"]) for r in inc.absent(rows, known, ["k", "n"]).collect())
+    assert got == ["None"] * 4 + ["a"] * 7
+    keyed = inc.absent(rows.withColumn("x", F.lit(1)), known, ["k", "n"]).collect()
+    assert sorted(str(r["k"]) for r in keyed) == got
+
+
 def test_payload_axis_is_left_closed(spark):
     payload = spark.sql(
         "SELECT timestamp_ntz'2024-01-01 00:00:00' AS start, timestamp_ntz'2024-01-01 03:00:00' AS end, 3600 AS step_s,"
@@ -264,7 +274,7 @@ def test_matches_equal_all_pairs(spark, size, monkeypatch):
     a = lk.prepared(spark.createDataFrame([(n,) for n in _random_names(rng, 90)], "c string"))
     b = lk.prepared(spark.createDataFrame([(n,) for n in _random_names(rng, 110)], "c string"))
     found, best = _brute(a.toPandas(), b.toPandas())
-    got = {r["company_a"]: (r["company_b"], r["score"]) for r in lk.match_best(a, b).collect()}
+    got = {r["company_a"]: (r["company_b"], r["score"]) for r in lk.match_best(a, lk.forms(a), lk.forms(b)).collect()}
     assert got == best and len(best) > 40
     norm_a, norm_b = (dict(zip(f["raw"], f["norm"])) for f in (a.toPandas(), b.toPandas()))
     pairs = {(r["norm_a"], r["norm_b"], r["score"]) for r in lk.match_scored(lk.forms(a), lk.forms(b)).collect()}
@@ -277,7 +287,7 @@ def test_long_names_without_containment_are_found(spark):
     a = lk.prepared(spark.createDataFrame([(words,)], "c string"))
     b = lk.prepared(spark.createDataFrame([(other + " v",), ("w000 x",)], "c string"))
     _, best = _brute(a.toPandas(), b.toPandas())
-    got = {r["company_a"]: (r["company_b"], r["score"]) for r in lk.match_best(a, b).collect()}
+    got = {r["company_a"]: (r["company_b"], r["score"]) for r in lk.match_best(a, lk.forms(a), lk.forms(b)).collect()}
     assert got == best
 
 
