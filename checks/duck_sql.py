@@ -18,6 +18,16 @@ def _r(expr: str, name: str | None = None) -> str:
     )
 
 
+def _exact(x: str, digits: int) -> str:
+    """Half-even rounding of the exact binary value, by formatted output."""
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
+
+
+def _scaled(x: str, digits: int) -> str:
+    """Half-even rounding of the scaled value, by the cast to a whole number."""
+    return f"CAST({x} * {10 ** digits} AS BIGINT) / {10 ** digits}.0::DOUBLE"
+
+
 def _ah(t: str, rh: str) -> str:
     return (
         f"216.7 * ({rh} / 100.0) * 6.112 * exp(17.67 * {t} / ({t} + 243.5)) / ({t} + 273.15)"
@@ -408,18 +418,20 @@ _TABLES: dict[str, tuple[tuple, str]] = {
     # -- significance ------------------------------------------------------------------------
     "tests": (("net",), """
         SELECT *, n - 1 AS nu, mean / (std / sqrt(n)) AS t FROM (
-            SELECT signal, baseline, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std FROM (
-                SELECT 'RH' AS signal, '2a' AS baseline, rh_net_2a AS x FROM net
-                UNION ALL SELECT 'RH', '2b', rh_net_2b FROM net
-                UNION ALL SELECT 'AH', '2a', ah_net_2a FROM net
-                UNION ALL SELECT 'AH', '2b', ah_net_2b FROM net) GROUP BY ALL)"""),
+            SELECT signal, baseline, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std
+            FROM (VALUES ('RH', '2a'), ('RH', '2b'), ('AH', '2a'), ('AH', '2b')) v(signal, baseline)
+            LEFT JOIN (SELECT 'RH' AS signal, '2a' AS baseline, rh_net_2a AS x FROM net
+                       UNION ALL SELECT 'RH', '2b', rh_net_2b FROM net
+                       UNION ALL SELECT 'AH', '2a', ah_net_2a FROM net
+                       UNION ALL SELECT 'AH', '2b', ah_net_2b FROM net) USING (signal, baseline)
+            GROUP BY ALL)"""),
     # p by Simpson's rule over the density, 4,000 strips
     "pvalues": (("tests",), """
         SELECT signal, baseline, n, mean, std, t, nu, 'exact' AS method,
-               1 - 2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(nu * pi()) * (abs(t) / 4000) / 3
+               CASE WHEN nu >= 1 THEN 1 - 2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(nu * pi()) * (abs(t) / 4000) / 3
                  * list_sum(list_transform(range(0, 4001), lambda i:
                      (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-                     * pow(1 + (abs(t) * i / 4000) * (abs(t) * i / 4000) / nu, -(nu + 1) / 2.0))) AS p
+                     * pow(1 + (abs(t) * i / 4000) * (abs(t) * i / 4000) / nu, -(nu + 1) / 2.0))) END AS p
         FROM tests"""),
 }
 
@@ -431,7 +443,7 @@ def _bucket_kpi() -> str:
         "avg_daytime_temp_in": ("avg(temp_in)", 1), "avg_daytime_temp_out": ("avg(temp_out)", 1),
         "avg_daytime_ah_in": ("avg(ah_in)", 2), "avg_daytime_ah_out": ("avg(ah_out)", 2),
     }
-    cols = ", ".join(_r(f"round_even({e}, {d})", n) for n, (e, d) in parts.items())
+    cols = ", ".join(_r(_scaled(e, d), n) for n, (e, d) in parts.items())
     return f"SELECT {cols} FROM complete WHERE hour BETWEEN 6 AND 19"
 
 
@@ -483,10 +495,10 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         WHERE NOT EXISTS (SELECT 1 FROM all_executions a WHERE a._source = r._source
                           AND a.start_time = r.start_time AND a.runtime = r.runtime)"""),
     "chart_daily": (("daily_full",), "SELECT day, " + ", ".join(
-        _r(f"round_even({c}, 3)", c) for c in [*_DAILY, "median_score", "pct_positive"])
+        _r(_exact(c, 3), c) for c in [*_DAILY, "median_score", "pct_positive"])
         + ", n_events, pump_active FROM daily_full"),
     "chart_hourly": (("hourly",), "SELECT printf('%02d:00', hour) AS label, " + ", ".join(
-        _r(f"round_even({c}, {2 if c in ('temp_in', 'temp_out') else 3})", c) for c in _MEANS) + " FROM hourly"),
+        _r(_exact(c, 2 if c in ("temp_in", "temp_out") else 3), c) for c in _MEANS) + " FROM hourly"),
     "csv_roundtrip": (("customs",), "SELECT * FROM customs"),
     "executed_calendar": (("calendar",), "SELECT start_time, execution_time FROM calendar WHERE executed = 1"),
     "band_filter": (("readings",), f"SELECT {_cols('sensor_id, ts', 'val')} FROM readings"),
@@ -538,8 +550,8 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         SELECT {_r('(SELECT avg(CASE WHEN temp_delta < 0 THEN 1.0 ELSE 0 END) * 100 FROM complete WHERE hour BETWEEN 0 AND 5)', 'night_cool_pct')},
                {_r('(SELECT avg(CASE WHEN rh_in >= 99 THEN 1.0 ELSE 0 END) * 100 FROM buckets WHERE rh_in IS NOT NULL)', 'rh_sat_pct')}"""),
     "kpi_pump": (("event_daily",), f"""
-        SELECT {_r('round_even(median(median_score), 2)', 'overall_median_score')},
-               {_r('round_even(avg(pct_positive), 1)', 'overall_pct_positive')}, count(*) AS n_pump_days,
+        SELECT {_r(_scaled('median(median_score)', 2), 'overall_median_score')},
+               {_r(_scaled('avg(pct_positive)', 1), 'overall_pct_positive')}, count(*) AS n_pump_days,
                count(*) FILTER (WHERE pct_positive >= 50) AS days_mostly_positive,
                count(*) FILTER (WHERE n_events > 0 AND median_score >= 1) AS days_score_positive
         FROM event_daily"""),
@@ -583,8 +595,8 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         SELECT n_events, {_cols('', 'p_rh', 'p_ah', 'mean_ah')},
                CASE WHEN p_ah < 0.05 AND mean_ah > 0.3 THEN 'RELEVANT' WHEN p_ah < 0.05 THEN 'MARGINAL'
                     ELSE 'NOT CONCLUSIVE' END AS verdict,
-               CASE WHEN p_rh >= 0.05 AND p_ah < 0.05 THEN 'RH masked by temperature'
-                    WHEN p_rh >= 0.05 THEN 'neither signal significant' ELSE 'none' END AS note
+               CASE WHEN coalesce(p_rh, 1) >= 0.05 AND p_ah < 0.05 THEN 'RH masked by temperature'
+                    WHEN coalesce(p_rh, 1) >= 0.05 THEN 'neither signal significant' ELSE 'none' END AS note
         FROM (SELECT max(n) FILTER (WHERE signal = 'AH') AS n_events, max(p) FILTER (WHERE signal = 'RH') AS p_rh,
                      max(p) FILTER (WHERE signal = 'AH') AS p_ah, max(mean) FILTER (WHERE signal = 'AH') AS mean_ah
               FROM pvalues WHERE baseline = '2b')"""),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hygroflow.functions import text
+from hygroflow.functions.rounding import round_exact
 from hygroflow.functions.similarity import jaro_winkler, token_set_ratio
 from hygroflow.settings import MatchRule
 
@@ -151,21 +152,16 @@ def with_parts(pairs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _rounded(totals: pd.Series) -> pd.Series:
-    """Round the exact binary value; the column functions round its shortest decimal form."""
-    return pd.Series([round(t, DIGITS) for t in totals])
-
-
 def score(rule: MatchRule) -> Column:
     """Weighted sum of the parts at four places."""
     w = rule.weights
-    return _rounded(
+    total = (
         w["token"] * F.col("token")
         + w["char"] * F.col("char")
         + w["contain"] * F.col("contain")
         + w["acronym"] * F.col("acronym")
     )
+    return round_exact(total, DIGITS)
 
 
 # -- tiles ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygroflow.functions import clock, parsing, scoring
+from hygroflow.functions.rounding import round_exact, round_scaled
 from hygroflow.operators import buckets as bk
 from hygroflow.operators import events as ev
 from hygroflow.operators.quantiles import grouped_median
@@ -160,14 +161,14 @@ def kpi_daytime(buckets: DataFrame) -> DataFrame:
         bk.complete(buckets)
         .where(_is_between(DAYTIME))
         .agg(
-            F.bround(F.avg("temp_delta"), 2).alias("avg_temp_lift"),
-            F.bround(F.max("temp_delta"), 2).alias("peak_temp_lift"),
-            F.bround(F.avg("ah_delta"), 3).alias("avg_ah_enrich"),
-            F.bround(F.max("ah_delta"), 3).alias("peak_ah_enrich"),
-            F.bround(F.avg("temp_in"), 1).alias("avg_daytime_temp_in"),
-            F.bround(F.avg("temp_out"), 1).alias("avg_daytime_temp_out"),
-            F.bround(F.avg("ah_in"), 2).alias("avg_daytime_ah_in"),
-            F.bround(F.avg("ah_out"), 2).alias("avg_daytime_ah_out"),
+            round_scaled(F.avg("temp_delta"), 2).alias("avg_temp_lift"),
+            round_scaled(F.max("temp_delta"), 2).alias("peak_temp_lift"),
+            round_scaled(F.avg("ah_delta"), 3).alias("avg_ah_enrich"),
+            round_scaled(F.max("ah_delta"), 3).alias("peak_ah_enrich"),
+            round_scaled(F.avg("temp_in"), 1).alias("avg_daytime_temp_in"),
+            round_scaled(F.avg("temp_out"), 1).alias("avg_daytime_temp_out"),
+            round_scaled(F.avg("ah_in"), 2).alias("avg_daytime_ah_in"),
+            round_scaled(F.avg("ah_out"), 2).alias("avg_daytime_ah_out"),
         )
     )
 
@@ -222,8 +223,8 @@ def kpi_pump(daily_events: DataFrame) -> DataFrame:
     The input has one row per calendar day, so the global median is bounded.
     """
     return daily_events.agg(
-        F.bround(F.median("median_score"), 2).alias("overall_median_score"),
-        F.bround(F.avg("pct_positive"), 1).alias("overall_pct_positive"),
+        round_scaled(F.median("median_score"), 2).alias("overall_median_score"),
+        round_scaled(F.avg("pct_positive"), 1).alias("overall_pct_positive"),
         F.count(F.lit(1)).alias("n_pump_days"),
         F.count_if(F.col("pct_positive") >= 50).alias("days_mostly_positive"),
         F.count_if((F.col("n_events") > 0) & (F.col("median_score") >= 1)).alias(
@@ -251,7 +252,7 @@ def chart_hourly(profile: DataFrame) -> DataFrame:
     digits = {"temp_in": 2, "temp_out": 2, "ah_in": 3, "ah_out": 3, "temp_delta": 3, "ah_delta": 3}
     return profile.select(
         clock.hour_label(F.col("hour")).alias("label"),
-        *[F.bround(c, d).alias(c) for c, d in digits.items()],
+        *[round_exact(F.col(c), d).alias(c) for c, d in digits.items()],
     )
 
 
@@ -259,7 +260,7 @@ def chart_daily(full: DataFrame) -> DataFrame:
     rounded = [f"avg_{c}" for c in MEANS] + ["median_score", "pct_positive"]
     return full.select(
         "day",
-        *[F.bround(parsing.nan_to_null(F.col(c)), 3).alias(c) for c in rounded],
+        *[round_exact(parsing.nan_to_null(F.col(c)), 3).alias(c) for c in rounded],
         "n_events",
         "pump_active",
     )

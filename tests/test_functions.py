@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hygroflow.functions import clock, parsing, scoring, student, text
+from hygroflow.functions.rounding import round_exact, round_scaled
 from hygroflow.functions.similarity import common_subsequence, jaro_winkler, token_set_ratio
 from hygroflow.settings import AH_EDGES
 
@@ -45,8 +48,15 @@ def test_numbers_out_of_text(spark):
     assert [bool(x) for x in in_band] == [False, False, False, True] + [False] * 5
 
 
-def test_half_even(spark):
-    assert _values(spark, [0.125, 0.375], "double", F.bround("v", 2)) == [0.12, 0.38]
+def test_rounding(spark):
+    rng = random.Random(1)
+    given = [0.125, 0.375, 33.995, 2.675, -2.675, 0.70625, 0.78375, 1.005, -0.5, 1e6 + 0.005]
+    given += [round(rng.uniform(-60, 60), 3) for _ in range(300)] + [rng.uniform(-60, 60) for _ in range(50)]
+    for digits in (2, 4):
+        exact = _values(spark, given, "double", round_exact(F.col("v"), digits))
+        assert exact == [round(x, digits) for x in given]
+        scaled = _values(spark, given, "double", round_scaled(F.col("v"), digits))
+        assert scaled == [float(np.round(x, digits)) for x in given]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
