@@ -300,7 +300,7 @@ _TABLES: dict[str, tuple[tuple, str]] = {
     "online": (("sensor_data",), """
         SELECT sensor_id, day, hours AS online_hours, round_even(hours / 24 * 100, 1) AS pct_online FROM (
             SELECT sensor_id, CAST(CAST(l AS DATE) AS VARCHAR) AS day,
-                   count(DISTINCT extract('hour' FROM l)) AS hours
+                   CAST(count(DISTINCT extract('hour' FROM l)) AS INTEGER) AS hours
             FROM (SELECT sensor_id, CAST(measure_date AS TIMESTAMP) - INTERVAL 5 HOUR AS l FROM sensor_data)
             GROUP BY ALL)"""),
     "attempts": (("actuator_measure",), f"""
@@ -380,7 +380,7 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                CASE WHEN contains(a.norm, b.norm) OR contains(b.norm, a.norm)
                     THEN least(length(a.norm), length(b.norm))::DOUBLE / greatest(length(a.norm), length(b.norm))
                     ELSE 0.0 END AS contain,
-               CASE WHEN a.acr = b.norm OR b.acr = a.norm OR a.acr = b.acr THEN 1.0 ELSE 0.0 END AS acronym
+               CASE WHEN a.acr = b.norm OR b.acr = a.norm OR a.acr = b.acr THEN 1.0 ELSE 0.0 END::DOUBLE AS acronym
         FROM (SELECT norm, acr, block, count(*) AS n FROM normed WHERE side = 'a' GROUP BY ALL) a
         JOIN (SELECT norm, acr, block, count(*) AS n, min(raw) AS name FROM normed WHERE side = 'b' GROUP BY ALL) b
              USING (block)"""),
@@ -574,7 +574,7 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         "ts, state, exec_secs, slot_no, rh_score, ah_score",
         *[f"{s}_{m}" for s in ("rh", "ah") for m in ("pre_mean", "actual", "net_2a", "net_2b")]) + " FROM net"),
     "event_profile": (("traces", "good_traces"), f"""
-        SELECT signal, side, off, count(*) AS n_events, {_r('median(z)', 'median')}, {_r('stddev_pop(z)', 'std')}
+        SELECT signal, side, CAST(off AS INTEGER) AS off, count(*) AS n_events, {_r('median(z)', 'median')}, {_r('stddev_pop(z)', 'std')}
         FROM (SELECT signal, side, off, v - CASE side WHEN 'in' THEN base_in ELSE base_out END AS z
               FROM traces JOIN good_traces USING (signal, id)) GROUP BY ALL"""),
     "score_histogram": (("scores",), f"""

@@ -3,7 +3,7 @@
 The definition compares every pair inside a block.  A block can hold a third of
 all names, so the pairs are not enumerated.  With the default weights a pair
 below 990 characters reaches the threshold only if one name contains the other
-or the acronym test holds (see ``LONG``), which leaves three exact sources:
+or the acronym test holds (see ``long_limit``), which leaves three exact sources:
 
 * containment is an equality: every stretch of the longer name that starts with
   the block key is a join key for the shorter name,
@@ -32,11 +32,22 @@ from hygroflow.settings import MatchRule
 TILE = 1000
 DIGITS = 4
 
-# Without containment and acronym the score is at most 0.35 + 0.25, so reaching
-# 0.6 takes Jaro-Winkler >= 0.9998, that is Jaro >= 0.99966: at most one
-# character in a thousand unmatched or out of place.  Below 990 characters only
-# equal names do that, and equal names contain each other.
-LONG = 990
+
+def long_limit(rule: MatchRule) -> int:
+    """Length below which a match needs containment or an acronym.
+
+    Without both, token and Jaro-Winkler similarity must reach the threshold
+    alone.  With the default weights Jaro-Winkler has to be 0.9998, hence Jaro
+    0.99966 (four equal leading characters close 40 % of the distance): at most
+    one character in a thousand unmatched or out of place.  Shorter names that
+    close are equal, and equal names contain each other.  Other weights give
+    other limits, down to 0, where all names of a block meet in tiles.
+    """
+    w = rule.weights
+    needed = (rule.threshold - 0.5 * 10.0**-DIGITS - w["token"]) / w["char"]
+    share = 3 * (1 - needed) / 0.6
+    never = 2**31 - 1
+    return min(max(0, int(1 / share) - 10), never) if share > 0 else never
 
 
 # -- preparation -----------------------------------------------------------------
@@ -165,13 +176,13 @@ def score(rule: MatchRule) -> Column:
 
 
 # -- tiles ---------------------------------------------------------------------------
-def _grouped(rows: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, rule: MatchRule) -> DataFrame:
     """Comparison groups of every name: its acronym, and the long names of its block."""
     groups = F.array_compact(
         F.array(
             F.struct(F.lit("acr").alias("kind"), F.col("acr").alias("label")),
             F.when(
-                F.length("norm") >= LONG, F.struct(F.lit("long").alias("kind"), F.lit("").alias("label"))
+                F.length("norm") >= long_limit(rule), F.struct(F.lit("long").alias("kind"), F.lit("").alias("label"))
             ),
         )
     )
@@ -181,13 +192,15 @@ def _grouped(rows: DataFrame) -> DataFrame:
 GROUP = ["block", "kind", "label"]
 
 
-def tiles(a: DataFrame, b: DataFrame, size: int = TILE) -> tuple[DataFrame, DataFrame]:
+def tiles(
+    a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule(), size: int = TILE
+) -> tuple[DataFrame, DataFrame]:
     """Both sides with tile numbers (i, j): at most about ``size`` names of a side per tile.
 
     Every name of a group lands in one slice of its side and is repeated once
     per slice of the other side, so each pair of the group meets in one tile.
     """
-    left, right = _grouped(a), _grouped(b)
+    left, right = _grouped(a, rule), _grouped(b, rule)
     sizes = (
         left.groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("n_a"))
@@ -276,7 +289,7 @@ def _tile_matches(a: pd.DataFrame, b: pd.DataFrame, rule: MatchRule, best_only:
 def tile_matches(
     a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule(), best_only: bool = True, size: int = TILE
 ) -> DataFrame:
-    left, right = tiles(a, b, size)
+    left, right = tiles(a, b, rule, size)
     keys = [*GROUP, "i", "j"]
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:

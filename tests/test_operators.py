@@ -17,7 +17,7 @@ from hygroflow.operators import series as sr
 from hygroflow.operators.quantiles import grouped_median, grouped_quantiles
 from hygroflow.plans import operations as op
 from hygroflow.plans import pump_study as ps
-from hygroflow.settings import MATCH_WEIGHTS, Clock
+from hygroflow.settings import MATCH_WEIGHTS, Clock, MatchRule
 from hygroflow.sources import files, snapshot
 from hygroflow.streaming import incremental as inc
 
@@ -269,7 +269,7 @@ def _random_names(rng, n):
 
 @pytest.mark.parametrize("size", [7, 1000])  # many tiles and one tile per group
 def test_matches_equal_all_pairs(spark, size, monkeypatch):
-    monkeypatch.setattr(lk, "tiles", lambda a, b, _=0, f=lk.tiles: f(a, b, size))
+    monkeypatch.setattr(lk, "tiles", lambda a, b, rule, _, f=lk.tiles: f(a, b, rule, size))
     rng = random.Random(size)
     a = lk.prepared(spark.createDataFrame([(n,) for n in _random_names(rng, 90)], "c string"))
     b = lk.prepared(spark.createDataFrame([(n,) for n in _random_names(rng, 110)], "c string"))
@@ -281,6 +281,12 @@ def test_matches_equal_all_pairs(spark, size, monkeypatch):
     assert pairs == {(norm_a[x], norm_b[y], s) for x, y, s in found}
 
 
+def test_limit_follows_the_weights():
+    assert lk.long_limit(MatchRule()) in (989, 990)
+    assert lk.long_limit(MatchRule(threshold=0.5)) == 0  # everything in the block is compared
+    assert lk.long_limit(MatchRule(threshold=0.7)) > 10**9  # no such pair can match
+
+
 def test_long_names_without_containment_are_found(spark):
     words = " ".join(f"w{i:04d}" for i in range(400))  # about 2,400 characters
     other = words.replace("w0200 w0201", "w0201 w0200")
