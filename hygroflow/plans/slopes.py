@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygroflow.functions import scoring
-from hygroflow.operators import events as ev
 from hygroflow.settings import EventWindow, SlopeRule
 
 

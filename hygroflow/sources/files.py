@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from hygroflow.session import shared_folder
 
@@ -44,7 +44,3 @@ def csv_roundtrip(df: DataFrame) -> DataFrame:
     write_csv(df, path)
     schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema])
     return read_csv(spark, path, schema)
-
-
-def text_schema(df: DataFrame) -> StructType:
-    return StructType([StructField(c, StringType(), True) for c in df.columns])

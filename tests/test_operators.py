@@ -9,7 +9,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hygroflow.functions import clock
 from hygroflow.functions.similarity import jaro_winkler, token_set_ratio
 from hygroflow.operators import events as ev
 from hygroflow.operators import linkage as lk
