@@ -31,6 +31,14 @@ from hygroflow.sources import files, snapshot
 from hygroflow.sources.testbed import FLOOR, Testbed
 from hygroflow.streaming import incremental as inc
 
+try:
+    import corpus_pipeline
+    from hygroflow.llm import registry as llm
+except ModuleNotFoundError as missing:  # the folder is optional; any other error is raised
+    if missing.name not in ("corpus_pipeline", "hygroflow.llm", "hygroflow.llm.registry"):
+        raise
+    corpus_pipeline = llm = None
+
 LOCAL = Clock(floor=FLOOR, shift_hours=5)
 STORED = Clock(floor=FLOOR, shift_hours=0)
 TEST_CUSTOMS = CustomsRule(
@@ -431,9 +439,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bound(build) for name, build in _QUERIES.items()}
+    bound = {name: _bound(build) for name, build in _QUERIES.items()}
+    if llm:
+        bound |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return bound
 
 
 def oracle_sql() -> dict[str, str]:
     known = statements()
-    return {name: known[name] for name in _QUERIES if name in known}
+    bound = {name: known[name] for name in _QUERIES if name in known}
+    if llm:
+        bound |= llm.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            bound["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return bound
