@@ -65,3 +65,20 @@ def possible(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
     hit = marked.join(F.broadcast(words), "__block")
     mask = tested_bit(F.col(column))
     return hit.where(F.col("__word").bitwiseAND(mask) == mask).drop("__block", "__word")
+
+
+def without(rows: DataFrame, column: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``dropped[column]``; rows with a null key stay.
+
+    Rows that the filter of dropped keys rules out are passed on as they are, so
+    that only possible hits, with their texts, are shuffled for the exact join.
+    """
+    keys = dropped.select(F.col(column).alias("__key")).where(F.col("__key").isNotNull()).distinct()
+    words = bloom_words(keys, "__key")
+    mask = tested_bit(F.col(column))
+    marked = rows.withColumn("__block", _block(F.col(column))).join(F.broadcast(words), "__block", "left")
+    hit = F.coalesce(F.col("__word").bitwiseAND(mask) == mask, F.lit(False))
+    clear = marked.where(~hit).drop("__block", "__word")
+    checked = marked.where(hit).drop("__block", "__word")
+    checked = checked.join(keys, checked[column] == keys["__key"], "left_anti")
+    return clear.unionByName(checked).select(*rows.columns)
