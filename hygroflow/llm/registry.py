@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from hygroflow.llm import exact_dedup, jaccard_join, packing, sharding, url_filters
+from hygroflow.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
+    "op4_decontamination": decontamination.query,
     "op5_packing": packing.query,
     "op8_sharding": sharding.query,
     "op9_url_filters": url_filters.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op2_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
 }
