@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from hygroflow.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, sharding, url_filters
+from hygroflow.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scans, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
+    "op3_toxicity": toxicity.query,
     "op4_decontamination": decontamination.query,
     "op5_packing": packing.query,
+    "op7_secret_scans": secret_scans.query,
     "op8_sharding": sharding.query,
     "op9_url_filters": url_filters.query,
     "op10_language_id": language_id.query,

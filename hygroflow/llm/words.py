@@ -70,6 +70,40 @@ def _hash(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mixed(h + (ends - starts).astype(np.uint64)), starts
 
 
+class Runs:
+    """Maximal runs of letters (ASCII letters and all bytes from 128) of a buffer.
+
+    ``also`` gives further bytes that count as the letter they stand for.
+    """
+
+    def __init__(self, data: np.ndarray, firsts: np.ndarray, also: dict[str, str] | None = None):
+        n = len(data)
+        letter = np.zeros(256, bool)
+        letter[65:91] = letter[97:123] = letter[128:] = True
+        value = _VALUE.copy()
+        for sign, meant in (also or {}).items():
+            letter[ord(sign)], value[ord(sign)] = True, value[ord(meant)]
+        self.power, self.inverse = _powers(n + 1)
+        inside = letter[data]
+        cut = np.zeros(n + 1, bool)
+        cut[firsts] = True
+        cut[[0, n]] = True
+        begin, end = inside & cut[:n], inside & cut[1:]
+        begin[1:] |= inside[1:] & ~inside[:-1]
+        end[:-1] |= inside[:-1] & ~inside[1:]
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[data] * self.power[:n], out=self.sums[1:])
+        self.bounds = np.append(np.searchsorted(self.starts, firsts), len(self.starts))
+
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Hash of each run, or of its first bytes (0 if it is not longer than that)."""
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
+        h = (self.sums[ends] - self.sums[self.starts]) * self.inverse[self.starts]
+        h = mixed(h + (ends - self.starts).astype(np.uint64) + _U((longest or 0) << 32))
+        return h if longest is None else np.where(self.ends - self.starts > longest, h, _U(0))
+
+
 def _long(data: np.ndarray) -> np.ndarray:
     """Word hashes of one text that is longer than a segment."""
     parts, at, n = [], 0, len(data)
