@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from hygroflow.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scans, sharding, toxicity, url_filters
+from hygroflow.llm import (
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    packing,
+    secret_scans,
+    sharding,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +21,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_decontamination": decontamination.query,
     "op5_packing": packing.query,
+    "op6_html_extraction": html_extraction.query,
     "op7_secret_scans": secret_scans.query,
     "op8_sharding": sharding.query,
     "op9_url_filters": url_filters.query,
