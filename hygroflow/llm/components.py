@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating star operations.
 
-Edges of each partition are first contracted to local stars (a union-find over
-that partition's edges); then large-star and small-star steps, each a minimum
-per node and a join, run until nothing changes.  Every round is written to the
-shared folder, which cuts the lineage and survives lost executors.
+Edges are first contracted to stars in tasks of about ``TASK_EDGES`` edges (a
+union-find inside each); then large-star and small-star steps, each a minimum
+per node and a join, run until nothing changes - at once if one task held all
+edges.  Every round is written to the shared folder, which cuts the lineage and
+survives lost executors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from hygroflow.llm.tables import stored
 
 
+#: Edges that one task contracts, about.
+TASK_EDGES = 2_000_000
+
+
 def _contracted(batches):
     parent: dict[int, int] = {}
 
@@ -50,11 +55,14 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) to (u, v): every node but the smallest of its component, and the smallest."""
-    current = stored(edges.mapInArrow(_contracted, "u long, v long"), "stars")
+    edges = stored(edges.select("a", "b"), "edges")
+    tasks = 1 + edges.count() // TASK_EDGES
+    current = stored(edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long"), "stars")
     seen = None
-    while True:
+    while tasks > 1:
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return current.distinct()
+        if state == seen:
+            break
         seen = state
         current = stored(_small(_large(current)), "stars")
+    return current

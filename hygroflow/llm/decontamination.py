@@ -14,6 +14,7 @@ occur anywhere in the document - decides.
 With ``PROBES`` values a window whose Jaccard similarity with an item is s is
 missed with probability (1 - s) ** PROBES; an item of containment 0.8 lying
 together has s of at least 0.19 (0.3 to 0.6 as a rule), that is 0.99996 or more.
+Items of at most half a block are found by any of their n-grams, which is exact.
 
 Defined cases: null texts are empty; an item or document of fewer words than n
 has its whole sequence as one n-gram; an item without words is in no document;
@@ -39,6 +40,8 @@ NUM, DEN = 80, 100
 PROBES = 48
 #: Size of the smallest block; classes double it.
 BLOCK = 16
+#: Class of items of at most half a block, whose windows are single n-grams.
+TINY = -1
 #: Bits of each of the two filters (MinHash values, n-grams of items): 4 MB whatever the items.
 FILTER_BITS = 1 << 25
 
@@ -66,7 +69,12 @@ _PLUS = _rng.integers(1, 1 << 63, PROBES, dtype=np.uint64)
 
 
 def size_class(n: int) -> int:
-    return max(0, int(np.ceil(np.log2(max(1, n) / BLOCK))))
+    return TINY if n <= BLOCK // 2 else max(0, int(np.ceil(np.log2(n / BLOCK))))
+
+
+def single(grams: np.ndarray) -> np.ndarray:
+    """Keys of a tiny item: its n-grams themselves."""
+    return wd.mixed(grams ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def minima(grams: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -92,7 +100,10 @@ def item_rows(batch: pa.RecordBatch):
             sizes.append(len(s))
             levels.append(level)
             grams.append(s)
-            found.append(keys(minima(s, np.zeros(1, np.int64)), level)[0] if len(s) else s)
+            if not len(s) or level == TINY:
+                found.append(single(s))
+            else:
+                found.append(keys(minima(s, np.zeros(1, np.int64)), level)[0])
     yield pa.RecordBatch.from_arrays(
         [batch["item_id"], pa.array(sizes, pa.int64()), pa.array(levels, pa.int32()), _longs(grams), _longs(found)],
         ["item_id", "n", "level", "grams", "keys"],
@@ -173,6 +184,11 @@ def _windows_that_hit(sets: list[np.ndarray], levels: list[int], known: Filter):
     number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)  # of a block in its text
     values = minima(np.concatenate(sets), (np.cumsum(sizes) - sizes)[text] + number * BLOCK)
     owners, hits = [], []
+    if TINY in levels:
+        every = single(np.concatenate(sets))
+        maybe = np.flatnonzero(known.maybe(every))
+        owners.append(np.repeat(np.arange(len(sets)), sizes)[maybe])
+        hits.append(every[maybe])
     for level in range(levels[-1] + 1):
         if level:  # neighbouring blocks become one
             number = number // 2

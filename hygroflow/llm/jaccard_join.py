@@ -10,7 +10,10 @@ large.  Long lists are those of groups of similar sets.  There, neighbours are
 compared first; sets that these links connect need no comparison among each
 other (their answers follow), and the rest of the list is compared only across
 components.  Candidates pass an exact bound (the parities of the hashed elements
-differ in at most as many places as the sets do) and are then intersected.
+differ in at most as many places as the sets do).  Of those that are left, each
+set is compared once with the root of its group of candidates, and a pair's
+answer derives from the two differences: x and y differ in exactly the elements
+in which their differences from a third set differ.
 
 Elements are 64-bit hashes of word n-grams (A-Z lowered), classes 128-bit
 digests of their sorted sets; beyond that every step is exact.
@@ -43,6 +46,8 @@ LONG = 100
 MOST_LONG = 1 << 20
 #: Bits of the parity sketch.
 PARITIES = 1024
+#: Sets that are compared with one copy of their root, about.
+ROOT_MEMBERS = 256
 #: Ways in which a long list is dealt; the way depends on list and set.
 SALT = 4
 
@@ -227,44 +232,57 @@ def _with_end(batches):
 
 
 def _neighbours(batches):
-    """Each entry of a long list with the two before it; the lists are never held."""
-    last: list[tuple] = []
+    """Each entry of a long list with the one before it; the lists are never held."""
+    last = None, None
     for batch in batches:
         a, b = [], []
         for e, c in zip(batch["element"].to_pylist(), batch["cid"].to_pylist(), strict=True):
-            for x, y in last:
-                if x == e and y != c:
-                    a.append(min(y, c))
-                    b.append(max(y, c))
-            last = [*last[-1:], (e, c)]
+            if last[0] == e and last[1] != c:
+                a.append(min(last[1], c))
+                b.append(max(last[1], c))
+            last = e, c
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _apart(rule: Rule):
+    """How each set differs from the set of its root, which comes first of its group."""
+
+    def run(batches):
+        group, leader = None, None
+        for batch in batches:
+            found = []
+            columns = [batch[c].to_pylist() for c in ("root", "salt", "cid", "set_id")]
+            for root, salt, cid, set_id, values in zip(*columns, _sets(batch["text"], rule.words), strict=True):
+                if _digest(values) != set_id:  # another text under the same identifier
+                    continue
+                if group != (root, salt):
+                    group, leader = (root, salt), values
+                if cid != root or salt == 0:
+                    found.append((cid, len(values), np.setxor1d(leader, values, assume_unique=True).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                ["cid", "n", "differs"],
+            )
+
+    return run
+
+
 def _linked(rule: Rule):
-    """Which pairs of sorted sets reach the similarity."""
+    """Which pairs reach the similarity: what differs between two sets is what differs between their differences."""
 
     def one(batch: pa.RecordBatch):
         kept = []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
+        columns = [batch[c].to_pylist() for c in ("n_a", "n_b")]
+        for n_a, n_b, x, y in zip(*columns, batch["differs_a"], batch["differs_b"], strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            common = int(_within(x, y).sum()) if len(x) < len(y) else int(_within(y, x).sum())
-            kept.append(rule.den * common >= rule.num * (len(x) + len(y) - common))
+            both = int((_within(x, y) if len(x) < len(y) else _within(y, x)).sum())
+            common = (n_a + n_b - (len(x) + len(y) - 2 * both)) // 2
+            kept.append(rule.den * common >= rule.num * (n_a + n_b - common))
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return one
 
 
-def _full(rule: Rule):
-    def one(batch: pa.RecordBatch):
-        sets = [s for s in _sets(batch["text"], rule.words)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["set_id", "elements"],
-        )
-
-    return one
-
-
 def _far(a: str, b: str) -> F.Column:
     """Number of parities in which two sketches differ."""
     differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
@@ -323,20 +341,37 @@ class _Join:
             pairs = pairs.join(about.toDF(side, f"n_{side}", f"sketch_{side}"), side)
         close = pairs.where(_near(self.rule, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
         close = stored(close, "close-pairs")
-        ids = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        needed = stored(self.classes.join(ids, "cid").select("cid", "set_id", "rep"), "needed")
-        texts = tables.possible(
-            self.docs.withColumn("key", F.coalesce("doc_id", F.lit(-1))), "key",
-            tables.bloom_words(needed.select(F.coalesce("rep", F.lit(-1)).alias("key")), "key"),
-        )
-        full = tables.whole(texts.select("text"), _full(self.rule), "set_id binary, elements binary")
-        full = full.join(needed, "set_id").groupBy("cid").agg(F.first("elements").alias("elements"))
-        full = stored(full, "full-sets")
+        differs = self._differences(close)
         both = close
         for side in ("a", "b"):
-            both = both.join(full.toDF(side, f"set_{side}"), side)
+            both = both.join(differs.toDF(side, f"n_{side}", f"differs_{side}"), side)
         return tables.whole(both, _linked(self.rule), "a long, b long")
 
+    def _differences(self, close: DataFrame) -> DataFrame:
+        """Classes of close pairs and how their sets differ from the set of their group's root.
+
+        The roots come from the close pairs alone, so most differences are small
+        and derive each pair's answer without a second look at the sets.  A root
+        goes to every part of a large group.
+        """
+        ids = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        needed = self.classes.select("cid", "set_id", "rep").join(ids, "cid")
+        needed = needed.join(components(close).toDF("cid", "root"), "cid", "left")
+        needed = stored(needed.withColumn("root", F.coalesce("root", "cid")), "needed")
+        parts = needed.groupBy("root").agg((F.floor(F.count(F.lit(1)) / ROOT_MEMBERS) + 1).alias("parts"))
+        salts = F.when(F.col("cid") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("cid"), F.col("parts")))
+        )
+        # null stands for an identifier of its own here
+        name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("name")
+        dealt = needed.join(parts, "root").select("cid", "set_id", "root", name("rep"), F.explode(salts).alias("salt"))
+        names = needed.select(name("rep"))
+        texts = tables.possible(self.docs.select(name("doc_id"), "text"), "name", tables.bloom_words(names, "name"))
+        grouped = texts.join(dealt, "name").repartition("root", "salt")
+        order = ["root", "salt", F.col("cid") != F.col("root"), "cid"]
+        sorted_rows = grouped.sortWithinPartitions(*order).select("root", "salt", "cid", "set_id", "text")
+        return stored(sorted_rows.mapInArrow(_apart(self.rule), "cid long, n long, differs binary"), "differences")
+
     def links(self) -> DataFrame:
         """Edges that connect every pair of linked classes, directly or through others."""
         every, rare = self.entries()

@@ -47,7 +47,7 @@ TREES, DEPTH = 20, 4
 NEAR = 4
 
 #: Signs that stand for letters, and second-person words.
-LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SECOND_PERSON = (
     "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre ti tú usted tuyo"
 ).split()
