@@ -44,8 +44,8 @@ from hygroflow.llm.tables import stored
 LONG = 100
 #: ... or beyond this share of all list entries, which bounds what is broadcast to 8 MB.
 MOST_LONG = 1 << 20
-#: Bits of the parity sketch.
-PARITIES = 1024
+#: Bits of the smallest parity sketch; a set has a power of two of them, one per element at least.
+PARITIES = 64
 #: Sets that are compared with one copy of their root, about.
 ROOT_MEMBERS = 256
 #: Ways in which a long list is dealt; the way depends on list and set.
@@ -98,7 +98,8 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
-    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    bits = max(PARITIES, 1 << (len(values) - 1).bit_length())
+    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -283,14 +284,21 @@ def _linked(rule: Rule):
     return one
 
 
-def _far(a: str, b: str) -> F.Column:
-    """Number of parities in which two sketches differ."""
-    differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(differing, F.lit(0), lambda s, v: s + v)
+def _folded(sketch: F.Column, other: F.Column) -> F.Column:
+    """A sketch of twice the other's length as one of the same length; else as it is."""
+    half = (F.size(sketch) / 2).cast("int")
+    low, high = F.slice(sketch, 1, half), F.slice(sketch, half + 1, half)
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(low, high, lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
 
 
 def _near(rule: Rule, a: str, b: str, na: str, nb: str) -> F.Column:
-    return (rule.num + rule.den) * _far(a, b) <= (rule.den - rule.num) * (F.col(na) + F.col(nb))
+    """Whether so few parities differ that two sets can reach the similarity."""
+    x, y = F.col(a), F.col(b)
+    for _ in range(max(1, (rule.den - 1) // rule.num)):  # sizes that fit differ by den / num at most
+        x, y = _folded(x, y), _folded(y, x)
+    differing = F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w)))
+    far = F.aggregate(differing, F.lit(0), lambda s, v: s + v)
+    return (rule.num + rule.den) * far <= (rule.den - rule.num) * (F.col(na) + F.col(nb))
 
 
 class _Join:
