@@ -25,7 +25,6 @@ from hygroflow.plans import measures as ms
 from hygroflow.plans import operations as op
 from hygroflow.plans import pump_study as ps
 from hygroflow.plans import slopes as sl
-from hygroflow.session import stored
 from hygroflow.settings import AH_EDGES, RH_EDGES, Clock, CustomsRule
 from hygroflow.sources import files, snapshot
 from hygroflow.sources.testbed import FLOOR, Testbed
@@ -42,9 +41,9 @@ except ModuleNotFoundError as missing:  # the folder is optional; any other erro
 LOCAL = Clock(floor=FLOOR, shift_hours=5)
 STORED = Clock(floor=FLOOR, shift_hours=0)
 TEST_CUSTOMS = CustomsRule(
-    description="RED", origin="o", cargo="brand", data_type="Brand#1", regime=7, packaging="g"
+    description="RED", origin="o", cargo="brand#1", data_type="y Brand", regime=7, packaging="g"
 )
-MEASURE_DAY = "2024-01-03"
+MEASURE_DAY = "2024-01-02"
 MEASURE_END = "2024-01-05"
 
 
@@ -60,17 +59,8 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*columns)
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
 class _Bench(Testbed):
-    """Intermediate tables; those that many queries start from are stored once per session."""
-
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _STORED:
-            _STORED[key] = stored(build(), name)
-        return _STORED[key]
+    """Intermediate tables, all of them lazy plans."""
 
     def readings(self):
         return bk.plausible_readings(self.sensor_data(), LOCAL)
@@ -82,9 +72,7 @@ class _Bench(Testbed):
         return db.pump_daily(self.actuator_measure(), LOCAL)
 
     def effects(self):
-        return self._once(
-            "event_effects", lambda: db.event_effects(self.wide(), self.actuator_measure(), LOCAL)
-        )
+        return db.event_effects(self.wide(), self.actuator_measure(), LOCAL)
 
     def daily_events(self):
         return db.event_daily(self.effects())
@@ -96,15 +84,13 @@ class _Bench(Testbed):
         return sr.minute_median(sr.minute_readings(self.sensor_data()))
 
     def wide(self):
-        return self._once("minute_table", lambda: ps.minute_table(self.sensor_data()))
+        return ps.minute_table(self.sensor_data())
 
     def events(self):
         return ps.study_events(self.actuator_measure(), STORED)
 
     def net(self):
-        return self._once(
-            "event_net", lambda: ps.event_net(self.events(), self.wide(), STORED)
-        )
+        return ps.event_net(self.events(), self.wide(), STORED)
 
     def tests(self):
         return ps.ttest_net(self.net())
@@ -136,10 +122,7 @@ class _Bench(Testbed):
         return lk.prepared(self.names_b())
 
     def forms(self):
-        return (
-            self._once("forms_a", lambda: lk.forms(self.rows_a())),
-            self._once("forms_b", lambda: lk.forms(self.rows_b())),
-        )
+        return lk.forms(self.rows_a()), lk.forms(self.rows_b())
 
 
 def _ts_of(b: _Bench, per_anchor: DataFrame) -> DataFrame:
@@ -261,11 +244,7 @@ def event_segments(b):
 
 
 def nearest_tick(b):
-    series = sr.long_series(b.wide()).where(F.col("series").startswith("ah"))
-    points = b.anchors_of_days().select(
-        F.explode(F.array(F.lit("ah_in"), F.lit("ah_out"))).alias("series"), *ev.ANCHOR
-    )
-    found = sr.nearest_tick(series.select("series", "minute"), points)
+    found = ev.nearest_minutes(b.anchors_of_days(), b.wide())
     return _ts_of(b, found).select("series", "ts", clock.from_minute(F.col("tick")).alias("tick"))
 
 
@@ -302,11 +281,11 @@ def ordinal_slope(b):
 
 
 def slope_features(b):
-    return sl.slope_features(b.metrics())
+    return sl.slope_features(b.events(), b.wide())
 
 
 def slope_class(b):
-    return sl.slope_class(sl.slope_features(b.metrics())).select("id_evento", "class_v0")
+    return sl.slope_class(sl.slope_features(b.events(), b.wide())).select("id_evento", "class_v0")
 
 
 def absolute_humidity(b):

@@ -64,6 +64,17 @@ def _weighted_slope(y: str, x: str, part: str) -> str:
     )
 
 
+def _angle(tangent: str) -> str:
+    """Integral of (cos(a + d) / cos(a)) ** (nu - 1) over d, up to a quarter turn or 1e-17."""
+    end = f"least(atan2(1.0, {tangent}), 80.0 / greatest(nu - 1, 1e-9) / ({tangent} + sqrt(pow({tangent}, 2) + 80.0 / greatest(nu - 1, 1e-9))))"
+    at = f"({end} * i / 4000)"
+    value = f"pow(greatest(cos({at}) - {tangent} * sin({at}), 0.0), nu - 1)"
+    return (
+        f"({end} / 12000 * list_sum(list_transform(range(0, 4001), lambda i:"
+        f" (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {value})))"
+    )
+
+
 _FROM_START = "date_diff('minute', date_trunc('minute', ts), minute_ts)"
 
 # name -> (inputs, body)
@@ -75,25 +86,30 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         FROM events"""),
     "sensor_data": (("packed",), """
         SELECT CAST(pts AS VARCHAR) AS measure_date,
-               CAST(101 + event_id % 4 AS VARCHAR) AS sensor_id,
+               CASE WHEN event_id % 53 = 0 THEN '199' ELSE CAST(101 + event_id % 4 AS VARCHAR) END AS sensor_id,
                CASE WHEN event_id % 97 = 0 THEN 'ERR'
                     WHEN event_id % 4 IN (0, 2) THEN CAST(round(20 + value % 85, 2) AS VARCHAR)
                     ELSE CAST(round(value % 60 - 2, 2) AS VARCHAR) END AS data_value
         FROM packed"""),
     "actuator_measure": (("packed",), """
-        SELECT strftime(date_trunc('second', pts), '%Y-%m-%d %H:%M:%S') AS start_time,
+        SELECT CASE WHEN event_id % 101 = 0 THEN 'bad text'
+                    ELSE strftime(date_trunc('second', pts), '%Y-%m-%d %H:%M:%S') END AS start_time,
                CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS execution_time,
-               CAST(user_id % 4 AS VARCHAR) AS state, '1' AS actuator_id
-        FROM packed WHERE event_type = 'error' AND event_id % 10 = 0"""),
+               CAST(user_id % 4 AS VARCHAR) AS state,
+               CASE WHEN event_id % 5 = 4 THEN '2' ELSE '1' END AS actuator_id
+        FROM packed"""),
+    "pump": (("actuator_measure",), f"""
+        SELECT * FROM (SELECT *, TRY_CAST(start_time AS TIMESTAMP) AS started FROM actuator_measure)
+        WHERE actuator_id = '1' AND start_time >= '{FLOOR}' AND started IS NOT NULL"""),
     "calendar": ((), """
         SELECT o_orderkey AS execution_id, o_orderdate AS start_time,
                CAST(floor(o_totalprice) AS BIGINT) AS execution_time,
                CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS executed
         FROM orders"""),
     "runs": ((), """
-        SELECT l_orderkey AS schedule_id, l_shipdate AS last_execution,
-               CAST(floor(o_totalprice) AS BIGINT) AS execution_time
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1"""),
+        SELECT l_orderkey AS schedule_id, max(l_shipdate) AS last_execution,
+               CAST(floor(any_value(o_totalprice)) AS BIGINT) AS execution_time
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey"""),
     "all_executions": (("calendar", "runs"), """
         SELECT 'calendar' AS _source, start_time, execution_time AS runtime
         FROM calendar WHERE execution_id % 2 = 0
@@ -112,12 +128,12 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         SELECT p_name AS description, p_type AS origin, p_brand AS cargo,
                p_type || ' ' || p_brand AS data_type,
                CASE WHEN p_partkey % 50 = 0 THEN 'n/a' ELSE CAST(p_retailprice AS VARCHAR) END AS fob,
-               p_size AS regime, p_name AS packaging
+               p_size % 2 + 6 AS regime, p_name AS packaging
         FROM part"""),
     "customs_flags": (("customs",), """
         SELECT *, contains(lower(description), 'red') AS t_description,
-               contains(lower(origin), 'o') AS t_origin, contains(lower(cargo), 'brand') AS t_cargo,
-               contains(lower(data_type), 'brand#1') AS t_data_type,
+               contains(lower(origin), 'o') AS t_origin, contains(lower(cargo), 'brand#1') AS t_cargo,
+               contains(lower(data_type), 'y brand') AS t_data_type,
                TRY_CAST(fob AS DOUBLE) IS NOT NULL AS t_fob, regime = 7 AS t_regime,
                contains(lower(packaging), 'g') AS t_packaging
         FROM customs"""),
@@ -151,10 +167,10 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         FROM range(24) s(h) LEFT JOIN complete ON complete.hour = h GROUP BY h"""),
     "daily_env": (("complete",), f"""
         SELECT day, {', '.join(f'avg({c}) AS avg_{c}' for c in _MEANS)} FROM complete GROUP BY day"""),
-    "pump_daily": (("actuator_measure",), f"""
-        SELECT CAST(CAST(CAST(start_time AS TIMESTAMP) - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS local_day,
+    "pump_daily": (("pump",), """
+        SELECT CAST(CAST(started - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS local_day,
                count(*) AS n_events, count(*) FILTER (WHERE state = '1') AS n_success
-        FROM actuator_measure WHERE actuator_id = '1' AND start_time >= '{FLOOR}' GROUP BY 1"""),
+        FROM pump GROUP BY 1"""),
     # -- minute path ----------------------------------------------------------------
     "minute_median": (("sensor_data",), f"""
         SELECT sensor_id, date_trunc('minute', ts) AS ts, median(val) AS val FROM (
@@ -183,11 +199,9 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                max(ts) FILTER (WHERE rh_in IS NOT NULL) AS last_in,
                min(ts) FILTER (WHERE rh_out IS NOT NULL) AS first_out,
                max(ts) FILTER (WHERE rh_out IS NOT NULL) AS last_out FROM minutes"""),
-    "events2": (("actuator_measure",), f"""
-        SELECT start_time, execution_time, state, CAST(start_time AS TIMESTAMP) AS ts,
-               TRY_CAST(execution_time AS INTEGER) AS exec_secs
-        FROM (SELECT DISTINCT start_time, execution_time, state FROM actuator_measure
-              WHERE actuator_id = '1' AND start_time >= '{FLOOR}')"""),
+    "events2": (("pump",), """
+        SELECT DISTINCT start_time, execution_time, state, started AS ts,
+               TRY_CAST(execution_time AS INTEGER) AS exec_secs FROM pump"""),
     "starts": (("events2",), "SELECT DISTINCT ts FROM events2"),
     "segments": (("starts", "minutes", "limits"), """
         SELECT s.ts, g.m AS minute_ts, g.m <= s.ts AS in_pre, g.m >= s.ts AS in_post,
@@ -224,12 +238,11 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                first(rh_in ORDER BY minute_ts DESC) FILTER (WHERE in_post AND grid_in)
                - first(rh_in ORDER BY minute_ts DESC) FILTER (WHERE in_pre AND grid_in) AS actual
         FROM segments GROUP BY ts"""),
-    "effects": (("actuator_measure", "ah_stats"), f"""
+    "effects": (("pump", "ah_stats"), f"""
         SELECT *, {_score('ah_net', AH)} AS ah_score,
                CAST(CAST(ts - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS local_day
         FROM (SELECT e.ts, e.state, actual - (0.33 * sl_in + 0.67 * sl_out) * 30 AS ah_net
-              FROM (SELECT DISTINCT CAST(start_time AS TIMESTAMP) AS ts, state FROM actuator_measure
-                    WHERE actuator_id = '1' AND start_time >= '{FLOOR}') e
+              FROM (SELECT DISTINCT started AS ts, state FROM pump) e
               JOIN ah_stats USING (ts) WHERE n_pre >= 14 AND n_post >= 21)"""),
     "event_daily": (("effects",), """
         SELECT local_day, count(ah_net) AS n_events, median(ah_net) AS median_net,
@@ -301,12 +314,12 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         SELECT sensor_id, day, hours AS online_hours, round_even(hours / 24 * 100, 1) AS pct_online FROM (
             SELECT sensor_id, CAST(CAST(l AS DATE) AS VARCHAR) AS day,
                    CAST(count(DISTINCT extract('hour' FROM l)) AS INTEGER) AS hours
-            FROM (SELECT sensor_id, CAST(measure_date AS TIMESTAMP) - INTERVAL 5 HOUR AS l FROM sensor_data)
+            FROM (SELECT sensor_id, CAST(measure_date AS TIMESTAMP) - INTERVAL 5 HOUR AS l FROM sensor_data
+                  WHERE sensor_id IN ('101', '102', '103', '104'))
             GROUP BY ALL)"""),
-    "attempts": (("actuator_measure",), f"""
-        SELECT t, CAST(CAST(t AS DATE) AS VARCHAR) AS day, state FROM (
-            SELECT CAST(start_time AS TIMESTAMP) - INTERVAL 5 HOUR AS t, state FROM actuator_measure
-            WHERE actuator_id = '1' AND start_time >= '{FLOOR}')"""),
+    "attempts": (("pump",), """
+        SELECT t, CAST(CAST(t AS DATE) AS VARCHAR) AS day, state
+        FROM (SELECT started - INTERVAL 5 HOUR AS t, state FROM pump)"""),
     "by_state": (("attempts",), """
         SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day, count(*) FILTER (WHERE state = '0') AS s0,
                count(*) FILTER (WHERE state = '1') AS s1, count(*) FILTER (WHERE state = '2') AS s2,
@@ -321,12 +334,15 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         GROUP BY day"""),
     # -- slopes ---------------------------------------------------------------------------
     "metrics": (("events2", "minutes"), f"""
-        SELECT CAST('0x' || substr(sha256(start_time || '|' || execution_time || '|' || state), 1, 15) AS BIGINT)
-                   AS id_evento, CAST(k AS DOUBLE) AS tiempo_relativo, rh_in AS humedad,
-               rh_out AS humedad_externa, slot AS franja
-        FROM events2 e CROSS JOIN range(-20, 31) g(k)
-        JOIN minutes m ON m.ts = date_trunc('minute', e.ts) + to_minutes(k)
-        JOIN {_SLOT_NAMES} ON slot_no = {_SLOT.format(h="extract('hour' FROM e.ts)")}
+        SELECT CAST('0x' || substr(sha256(length(start_time) || ':' || start_time || length(execution_time) || ':' || execution_time || length(state) || ':' || state), 1, 15) AS BIGINT)
+                   AS id_evento, CAST(date_diff('minute', date_trunc('minute', e.ts), e.at) AS DOUBLE) AS tiempo_relativo,
+               rh_in AS humedad, rh_out AS humedad_externa, slot AS franja
+        FROM (SELECT *, {_SLOT.format(h="extract('hour' FROM ts)")} AS own_slot,
+                     unnest(generate_series(date_trunc('minute', ts) - INTERVAL 20 MINUTE,
+                                            date_trunc('minute', ts) + INTERVAL 30 MINUTE, INTERVAL 1 MINUTE)) AS at
+              FROM events2) e
+        JOIN minutes m ON m.ts = e.at
+        JOIN {_SLOT_NAMES} ON slot_no = e.own_slot
         WHERE rh_in IS NOT NULL OR rh_out IS NOT NULL"""),
     "features": (("metrics",), f"""
         SELECT *, slope_internal_pre - slope_external_pre AS slope_relative_pre,
@@ -348,7 +364,7 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                               WHEN '103' THEN 'Humidity 2' ELSE 'Temperature 2' END AS medida,
                min(TRY_CAST(data_value AS DOUBLE)) AS value_min, avg(TRY_CAST(data_value AS DOUBLE)) AS value_avg,
                max(TRY_CAST(data_value AS DOUBLE)) AS value_max
-        FROM sensor_data WHERE TRY_CAST(data_value AS DOUBLE) IS NOT NULL GROUP BY 1, 2
+        FROM sensor_data WHERE TRY_CAST(data_value AS DOUBLE) IS NOT NULL AND sensor_id <> '199' GROUP BY 1, 2
         UNION ALL
         SELECT datetime, medida, v, v, v FROM (
             SELECT datetime, temperature_2m AS w_temp, relative_humidity_2m AS w_humidity, rain AS w_rain,
@@ -358,7 +374,7 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         SELECT fecha_hora, avg(value_avg) FILTER (WHERE medida = 'Temperature 1') AS temperature_1,
                avg(value_avg) FILTER (WHERE medida = 'Temperature 2') AS temperature_2,
                avg(value_avg) FILTER (WHERE medida = 'w_temp') AS w_temp
-        FROM measures WHERE fecha_hora >= '2024-01-03' AND fecha_hora < '2024-01-05'
+        FROM measures WHERE fecha_hora >= '2024-01-02' AND fecha_hora < '2024-01-05'
              AND medida IN ('Temperature 1', 'Temperature 2', 'w_temp') GROUP BY 1"""),
     # -- names ------------------------------------------------------------------------------
     "names": ((), """
@@ -425,14 +441,11 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                        UNION ALL SELECT 'AH', '2a', ah_net_2a FROM net
                        UNION ALL SELECT 'AH', '2b', ah_net_2b FROM net) USING (signal, baseline)
             GROUP BY ALL)"""),
-    # p by Simpson's rule over the density, 4,000 strips
-    "pvalues": (("tests",), """
-        SELECT signal, baseline, n, mean, std, t, nu, 'exact' AS method,
-               CASE WHEN nu >= 1 THEN 1 - 2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(nu * pi()) * (abs(t) / 4000) / 3
-                 * list_sum(list_transform(range(0, 4001), lambda i:
-                     (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-                     * pow(1 + (abs(t) * i / 4000) * (abs(t) * i / 4000) / nu, -(nu + 1) / 2.0))) END AS p
-        FROM tests"""),
+    # both tails over the whole, each by Simpson's rule over the angle with 4,000 strips
+    "pvalues": (("tests",), f"""
+        SELECT signal, baseline, n, mean, std, t, nu, p, -log10(p) AS log_p
+        FROM (SELECT *, CASE WHEN nu >= 1 THEN pow(1 + t * t / nu, -(nu - 1) / 2.0)
+                             * {_angle('abs(t) / sqrt(nu)')} / {_angle('0.0')} END AS p FROM tests)"""),
 }
 
 
@@ -480,11 +493,22 @@ def _pct(a: str, b: str) -> str:
 
 # query -> (inputs, final select)
 _FINAL: dict[str, tuple[tuple, str]] = {
-    "snapshot_counts": (("sensor_data",), """
-        SELECT 'sensor_data' AS table_name, count(*) AS n_rows FROM sensor_data
-        UNION ALL SELECT 'calendar_executions', count(*) FROM orders
-        UNION ALL SELECT 'schedule', count(*) FROM orders
-        UNION ALL SELECT 'schedule_data', count(*) FROM lineitem WHERE l_linenumber = 1"""),
+    "snapshot_counts": (("sensor_data", "calendar"), """
+        SELECT table_name, count(DISTINCT r) AS n_rows, count(cell) AS n_cells,
+               CAST(sum(length(cell)) AS BIGINT) AS n_chars
+        FROM (SELECT 'sensor_data' AS table_name, row_number() OVER () AS r,
+                     unnest([measure_date, sensor_id, data_value]) AS cell FROM sensor_data
+              UNION ALL
+              SELECT 'calendar_executions', row_number() OVER (),
+                     unnest([CAST(execution_id AS VARCHAR), CAST(start_time AS VARCHAR),
+                             CAST(execution_time AS VARCHAR), 'ON', 'OFF', CAST(executed AS VARCHAR)]) FROM calendar
+              UNION ALL
+              SELECT 'schedule', row_number() OVER (),
+                     unnest([CAST(o_orderkey AS VARCHAR), CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)]) FROM orders
+              UNION ALL
+              SELECT 'schedule_data', row_number() OVER (),
+                     unnest([CAST(l_orderkey AS VARCHAR), CAST(max(l_shipdate) AS VARCHAR)]) FROM lineitem GROUP BY l_orderkey)
+        GROUP BY table_name"""),
     "weather_explode": (("weather",), f"SELECT {_cols('datetime', *_WEATHER)} FROM weather"),
     "weather_new_rows": (("weather",), f"""
         SELECT {_cols('datetime', *_WEATHER)} FROM weather WHERE extract('hour' FROM datetime) % 2 = 1"""),
@@ -504,7 +528,7 @@ _FINAL: dict[str, tuple[tuple, str]] = {
     "band_filter": (("readings",), f"SELECT {_cols('sensor_id, ts', 'val')} FROM readings"),
     "measures_slice": (("measures",), f"""
         SELECT {_cols('fecha_hora, medida', 'value_min', 'value_avg', 'value_max')} FROM measures
-        WHERE medida = 'Temperature 1' AND fecha_hora >= '2024-01-03'"""),
+        WHERE medida = 'Temperature 1' AND fecha_hora >= '2024-01-02'"""),
     "measures_pivot": (("pivoted",), f"SELECT {_cols('fecha_hora', 'temperature_1', 'temperature_2', 'w_temp')} FROM pivoted"),
     "measures_head": (("pivoted",), f"""
         SELECT {_cols('fecha_hora', 'temperature_1', 'temperature_2', 'w_temp')}
@@ -565,7 +589,7 @@ _FINAL: dict[str, tuple[tuple, str]] = {
     "ah_minute_series": (("minutes",), f"""
         SELECT {_cols('ts', 'ah_in', 'ah_out')} FROM minutes WHERE ah_in IS NOT NULL OR ah_out IS NOT NULL"""),
     "event_segments": (("segments",), f"SELECT {_cols('ts, minute_ts, in_pre, in_post, grid_in, grid_out', *_SIDES)} FROM segments"),
-    "nearest_tick": (("nearest",), "SELECT series, ts, tick FROM nearest WHERE series IN ('ah_in', 'ah_out')"),
+    "nearest_tick": (("nearest",), "SELECT series, ts, tick FROM nearest "),
     "ordinal_slope": (("ah_stats", "rh_stats"), f"""
         SELECT ts, {_r('a.sl_in', 'ah_slope_in')}, {_r('a.sl_out', 'ah_slope_out')},
                {_r('r.sl_in', 'rh_slope_in')}, {_r('r.sl_out', 'rh_slope_out')}
@@ -590,7 +614,7 @@ _FINAL: dict[str, tuple[tuple, str]] = {
                (SELECT count(*) FROM scores s WHERE s.signal = b.signal AND s.slot_no = b.slot_no
                                               AND (s.score < lo OR s.score > hi)) AS n_outliers
         FROM whiskers b JOIN {_SLOT_NAMES} ON v.slot_no = b.slot_no"""),
-    "ttest_net": (("pvalues",), f"SELECT {_cols('signal, baseline, n, nu, method', 'mean', 'std', 't', 'p')} FROM pvalues"),
+    "ttest_net": (("pvalues",), f"SELECT {_cols('signal, baseline, n, nu', 'mean', 'std', 't', 'p', 'log_p')} FROM pvalues"),
     "pump_verdict": (("pvalues",), f"""
         SELECT n_events, {_cols('', 'p_rh', 'p_ah', 'mean_ah')},
                CASE WHEN p_ah < 0.05 AND mean_ah > 0.3 THEN 'RELEVANT' WHEN p_ah < 0.05 THEN 'MARGINAL'
@@ -678,6 +702,9 @@ def statements() -> dict[str, str]:
     result = {}
     for query, (inputs, body) in _FINAL.items():
         tables = _needed(inputs, [])
-        prefix = ",\n".join(f"{name} AS ({_TABLES[name][1]})" for name in tables)
+        once = ("minute_median", "filled", "minutes", "packed", "pump")  # have several readers
+        prefix = ",\n".join(
+            f"{name} AS {'MATERIALIZED ' if name in once else ''}({_TABLES[name][1]})" for name in tables
+        )
         result[query] = f"WITH {prefix}\n{body}" if tables else body
     return result

@@ -23,9 +23,11 @@ ANCHOR = ["half", "on_tick"]
 
 
 def pump_rows(actuator_measure: DataFrame, floor: str, actuator: str = "1") -> DataFrame:
-    """Rows of one actuator; the floor compares text with text, on the stored clock."""
+    """Rows of one actuator with a readable time; the floor compares text with text, on the stored clock."""
     return actuator_measure.where(
-        (F.col("actuator_id") == actuator) & (F.col("start_time") >= F.lit(floor))
+        (F.col("actuator_id") == actuator)
+        & (F.col("start_time") >= F.lit(floor))
+        & parsing.to_ts(F.col("start_time")).isNotNull()
     )
 
 
@@ -48,7 +50,7 @@ def distinct_events(
     )
     if "execution_time" in identity:
         events = events.withColumn("exec_secs", parsing.to_int(F.col("execution_time")))
-    return events.where(F.col("ts").isNotNull())
+    return events
 
 
 def anchors(events: DataFrame) -> DataFrame:
@@ -181,37 +183,43 @@ def window_stats(points: DataFrame, wide: DataFrame, window: EventWindow = Event
     return stats
 
 
-def profile_traces(
-    weighted: DataFrame, wide: DataFrame, window: EventWindow = EventWindow()
-) -> DataFrame:
-    """Zeroed traces per anchor, signal and side: (.., off, val, n).
-
-    ``weighted``: anchors with ``n``, the number of events on each.  Every trace
-    is centred on the nearest minute of its own series.  A pair of traces needs
-    at most 30 % empty minutes and a baseline on both sides.
-    """
+def nearest_minutes(points: DataFrame, wide: DataFrame) -> DataFrame:
+    """(series, anchor, tick): the nearest minute of each humidity series to every anchor."""
     limits = grid_limits(wide)
     series = long_series(wide)
-    points = weighted.select(
+    at = points.select(
         F.explode(F.array(F.lit("ah_in"), F.lit("ah_out"))).alias("series"), *ANCHOR
     )
     ticks = series.where(F.col("series").startswith("ah")).select("series", "minute")
-    ah_centres = nearest_tick(ticks, points)
+    ah_centres = nearest_tick(ticks, at)
 
     # a dense series has every minute, so its nearest one is arithmetic
     rounded = F.floor((F.col("half") + 1) / 2)
     rh_centres = None
     for side in ("in", "out"):
         first, last = limits[f"first_{side}"], limits[f"last_{side}"]
-        part = weighted.select(
+        part = points.select(
             F.lit(f"rh_{side}").alias("series"),
             *ANCHOR,
             F.least(F.greatest(rounded, first), last).alias("tick"),
         )
         rh_centres = part if rh_centres is None else rh_centres.unionByName(part)
 
+    return ah_centres.select("series", *ANCHOR, "tick").unionByName(rh_centres)
+
+
+def profile_traces(
+    weighted: DataFrame, wide: DataFrame, window: EventWindow = EventWindow()
+) -> DataFrame:
+    """Zeroed traces per anchor, signal and side: (.., off, val, n).
+
+    ``weighted``: anchors with ``n``, the number of events on each.  Every trace
+    is centred on the nearest minute of its own series.  A pair of traces needs
+    at most 30 % empty minutes and a baseline on both sides.
+    """
+    series = long_series(wide)
     minutes = (
-        ah_centres.unionByName(rh_centres)
+        nearest_minutes(weighted, wide)
         .withColumn("off", F.explode(F.sequence(F.lit(-window.before), F.lit(window.after))))
         .withColumn("minute", F.col("tick") + F.col("off"))
         .join(series, ["series", "minute"], "left")
@@ -261,10 +269,12 @@ def event_profile(traces: DataFrame) -> DataFrame:
     keys = ["signal", "side", "off"]
     n, val = F.col("n"), F.col("val")
     weight = F.sum(F.when(val.isNotNull(), n))
-    mean = F.sum(n * val) / weight
-    spread = traces.groupBy(*keys).agg(
+    means = traces.groupBy(*keys).agg((F.sum(n * val) / weight).alias("mean"))
+    # deviations from the mean, not a difference of large sums; a row per signal, side and minute
+    centred = traces.join(F.broadcast(means), keys)
+    spread = centred.groupBy(*keys).agg(
         F.sum("n").alias("n_events"),
-        F.sqrt(F.greatest(F.sum(n * val * val) / weight - mean * mean, F.lit(0.0))).alias("std"),
+        F.sqrt(F.sum(n * F.pow(val - F.col("mean"), F.lit(2.0))) / weight).alias("std"),
     )
     medians = grouped_median(traces, keys, "val", "median", weight="n")
     return spread.join(medians, keys, "left").select(*keys, "median", "std", "n_events")

@@ -55,43 +55,33 @@ def attempts(actuator_measure: DataFrame, period: Clock = OPERATIONS_CLOCK) -> D
 
 
 def attempts_by_state(rows: DataFrame) -> DataFrame:
-    """Attempts per day and state on an unbroken calendar; days without attempts are zero.
-
-    The daily counts (one entry per calendar day) are laid over the day
-    sequence inside one row, so the attempts are read once.
-    """
+    """Attempts per day and state on an unbroken calendar; days without attempts are zero."""
     names = [*(f"s{s}" for s in STATES), "total"]
     counts = rows.groupBy("day").agg(
         *[F.count_if(F.col("state") == s).alias(f"s{s}") for s in STATES],
         F.count(F.lit(1)).alias("total"),
     )
     day = F.col("day").cast("date")
-    whole = counts.agg(
-        F.min(day).alias("a"),
-        F.max(day).alias("b"),
-        F.map_from_entries(F.collect_list(F.struct(day.alias("d"), F.struct(*names)))).alias("m"),
-    )
-
-    def entry(d):
-        found = F.try_element_at(F.col("m"), d)
-        return F.struct(
-            d.cast("string").alias("day"),
-            *[F.coalesce(found.getField(n), F.lit(0).cast("long")).alias(n) for n in names],
-        )
-
-    return whole.select(F.inline(F.transform(F.sequence("a", "b"), entry)))
+    ends = counts.agg(F.min(day).alias("first"), F.max(day).alias("last")).where(F.col("first").isNotNull())
+    spine = ends.select(F.explode(F.sequence("first", "last")).alias("day")).select(F.col("day").cast("string"))
+    return spine.join(counts, "day", "left").select("day", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def raw_success(daily: DataFrame) -> DataFrame:
-    """Share of state 1 among all attempts, per day and in total."""
-    per_day = daily.select("day", F.col("total").alias("attempts"), F.col("s1").alias("successes"))
-    total = per_day.agg(
-        F.lit("total").alias("day"),
-        F.sum("attempts").alias("attempts"),
-        F.sum("successes").alias("successes"),
-    )
-    return per_day.unionByName(total).withColumn(
-        "rate_pct", _percent(F.col("successes"), F.nullif(F.col("attempts"), F.lit(0)))
+    """Share of state 1 among all attempts, per day and in total, out of one aggregate."""
+    return (
+        daily.groupingSets([["day"], []], "day")
+        .agg(
+            F.sum("total").alias("attempts"),
+            F.sum("s1").alias("successes"),
+            F.grouping("day").alias("over_all"),
+        )
+        .select(
+            F.when(F.col("over_all") == 1, F.lit("total")).otherwise(F.col("day")).alias("day"),
+            "attempts",
+            "successes",
+            _percent(F.col("successes"), F.nullif(F.col("attempts"), F.lit(0))).alias("rate_pct"),
+        )
     )
 
 

@@ -162,7 +162,7 @@ def ttest_net(net: DataFrame) -> DataFrame:
         .withColumn("t", t)
         .withColumn("nu", nu)
         .withColumn("p", student.two_sided_p(F.col("t"), F.col("nu")))
-        .withColumn("method", student.p_method(F.col("nu")))
+        .withColumn("log_p", -F.log10("p"))
     )
 
 

@@ -11,9 +11,24 @@ from pyspark.sql.types import StructField, StructType
 from hygroflow.session import shared_folder
 
 
+#: A quote inside a text is doubled and white space stays.  NULL is an empty field and an
+#: empty text is "".  Texts may hold line breaks, so one file is read by one task: write many.
+FORMAT = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "multiLine": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+WRITTEN = FORMAT | {"nullValue": "", "emptyValue": '""'}
+#: The parser hands out the first for an empty field, the second for "".
+READ = FORMAT | {"nullValue": "\x00", "emptyValue": ""}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """CSV with a header; types are inferred only when no schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    reader = spark.read.options(**READ)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -25,7 +40,7 @@ def first_column(df: DataFrame, name: str = "company") -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**WRITTEN).csv(path)
 
 
 def write_chart(df: DataFrame, path: str) -> None:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hygroflow.session import stored
+
 
 def stringify(df: DataFrame) -> DataFrame:
     """All columns as text.  NULL stays NULL instead of turning into a word."""
@@ -14,15 +17,19 @@ def stringify(df: DataFrame) -> DataFrame:
 
 
 def snapshot_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows of every table of a snapshot, without writing it."""
-    parts = [
-        stringify(df).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        for name, df in tables.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Rows, cells with a value and characters of every table's all-text copy, as read back."""
+    parts = []
+    for name, df in tables.items():
+        copy = stored(stringify(df), f"snapshot-{name}")
+        cells = [F.col(f"`{c}`") for c in copy.columns]
+        parts.append(
+            copy.agg(
+                F.count(F.lit(1)).alias("n_rows"),
+                reduce(lambda x, y: x + y, [F.count(c) for c in cells]).alias("n_cells"),
+                reduce(lambda x, y: x + y, [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in cells]).alias("n_chars"),
+            ).select(F.lit(name).alias("table_name"), "*")
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def copy_tables(tables: Mapping[str, DataFrame], database: str) -> dict[str, int]:

@@ -39,7 +39,9 @@ class Testbed:
         temp = F.round(F.col("value") % 60 - 2, 2)
         return self._read("events").select(
             clock.from_micros(self._packed_micros(F.col("ts"))).cast("string").alias("measure_date"),
-            (code + 101).cast("string").alias("sensor_id"),
+            F.when(F.col("event_id") % 53 == 0, F.lit("199"))  # a device that no analysis knows
+            .otherwise((code + 101).cast("string"))
+            .alias("sensor_id"),
             F.when(F.col("event_id") % 97 == 0, F.lit("ERR"))
             .when(code.isin(0, 2), rh.cast("string"))
             .otherwise(temp.cast("string"))
@@ -47,15 +49,17 @@ class Testbed:
         )
 
     def actuator_measure(self) -> DataFrame:
+        """Every event; some belong to another actuator, some have an unreadable time."""
         whole_second = F.floor(self._packed_micros(F.col("ts")) / F.lit(1_000_000)) * 1_000_000
         return (
             self._read("events")
-            .where((F.col("event_type") == "error") & (F.col("event_id") % 10 == 0))
             .select(
-                clock.from_micros(whole_second).cast("string").alias("start_time"),
+                F.when(F.col("event_id") % 101 == 0, F.lit("bad text"))
+                .otherwise(clock.from_micros(whole_second).cast("string"))
+                .alias("start_time"),
                 F.floor("value").cast("int").cast("string").alias("execution_time"),
                 (F.col("user_id") % 4).cast("string").alias("state"),
-                F.lit("1").alias("actuator_id"),
+                F.when(F.col("event_id") % 5 == 4, F.lit("2")).otherwise(F.lit("1")).alias("actuator_id"),
             )
         )
 
@@ -76,13 +80,11 @@ class Testbed:
         )
 
     def schedule_data(self) -> DataFrame:
+        """The latest line of every order."""
         return (
             self._read("lineitem")
-            .where(F.col("l_linenumber") == 1)
-            .select(
-                F.col("l_orderkey").alias("schedule_id"),
-                F.col("l_shipdate").cast("string").alias("last_execution"),
-            )
+            .groupBy(F.col("l_orderkey").alias("schedule_id"))
+            .agg(F.max("l_shipdate").cast("string").alias("last_execution"))
         )
 
     def all_executions(self) -> DataFrame:
@@ -162,7 +164,7 @@ class Testbed:
             F.col("p_brand").alias("C68 CD. TIPO CARGA"),
             F.concat_ws(" ", "p_type", "p_brand").alias("C53 CD. TIPO DATOS"),
             price.alias("C72 VALOR TOTAL FOB U$"),
-            F.col("p_size").alias("C49 RGIMEN ADUANERO"),
+            (F.col("p_size") % 2 + 6).alias("C49 RGIMEN ADUANERO"),
             F.col("p_name").alias("C106 COD. CLASE EMBALAJE"),
         )
 

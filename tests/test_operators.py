@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -16,6 +18,7 @@ from hygroflow.operators import series as sr
 from hygroflow.operators.quantiles import grouped_median, grouped_quantiles
 from hygroflow.plans import operations as op
 from hygroflow.plans import pump_study as ps
+from hygroflow.plans import slopes as sl
 from hygroflow.settings import MATCH_WEIGHTS, Clock, MatchRule
 from hygroflow.sources import files, snapshot
 from hygroflow.streaming import incremental as inc
@@ -214,6 +217,47 @@ def test_snapshot_keeps_null_and_counts(spark, tmp_path):
     assert sorted(tuple(r) for r in text.collect()) == [("1", None), ("2", "x")]
 
 
+def test_snapshot_is_read_back(spark):
+    df = spark.createDataFrame([(1, None), (22, "xyz")], "a int, b string")
+    assert [tuple(r) for r in snapshot.snapshot_counts({"t": df}).collect()] == [("t", 2, 3, 6)]
+
+
+def test_csv_with_quotes_breaks_and_empty_texts(spark, tmp_path):
+    texts = ['He said "hi", ok', "two\nlines", "", None, 'back\\slash "', " x "]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "name string, n int")
+    back = files.csv_roundtrip(df).orderBy("n").collect()
+    assert [r["name"] for r in back] == texts
+    (tmp_path / "foreign.csv").write_text('name,n\n"He said ""hi"", ok",1\n"two\nlines",2\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "foreign.csv")).collect()] == [
+        ('He said "hi", ok', 1), ("two\nlines", 2)]
+
+
+def test_events_with_missing_parts_stay_apart(spark):
+    wide = spark.createDataFrame([(m, 50.0 + m, 40.0, 1.0, 1.0) for m in range(100)], "minute long, rh_in double, rh_out double, ah_in double, ah_out double")
+    ts = datetime(1970, 1, 1, 0, 30)
+    rows = [("x", None, "y", ts, 60), ("x", "y", None, ts, 60), (None, "x", "y", ts, 60)]
+    events = spark.createDataFrame(rows, "start_time string, execution_time string, state string, ts timestamp_ntz, half long")
+    got = sl.slope_features(events, wide).collect()
+    assert len({r["id_evento"] for r in got}) == len(got) == 3
+    assert all(r["slope_internal_pre"] == pytest.approx(1.0) and r["slope_external_post"] == pytest.approx(0.0) for r in got)
+    assert sl.event_relative_metrics(events, wide).count() == 3 * 51
+
+
+def test_profile_of_far_values_keeps_its_deviation(spark):
+    rows = [("RH", "in", 0, 1e9 + v, n) for v, n in ((0.0, 1), (1.0, 2), (2.0, 1))]
+    traces = spark.createDataFrame(rows, "signal string, side string, off int, val double, n long")
+    row = ev.event_profile(traces).first()
+    assert row["n_events"] == 4 and row["std"] == pytest.approx(math.sqrt(0.5))
+
+
+def test_unreadable_times_drop_out(spark):
+    rows = [("2024-01-05 10:00:00", "1", "1", "1"), ("bad text", "1", "1", "1")]
+    df = spark.createDataFrame(rows, "start_time string, execution_time string, state string, actuator_id string")
+    clock_ = Clock("2024-01-01", 0)
+    assert [r["day"] for r in op.attempts_by_state(op.attempts(df, clock_)).collect()] == ["2024-01-05"]
+    assert {r["day"]: r["attempts"] for r in op.raw_success(op.attempts_by_state(op.attempts(df, clock_))).collect()} == {"2024-01-05": 1, "total": 1}
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a, b", 1), (None, 2)], "`name of it` string, n int")
     files.write_csv(df, str(tmp_path / "c"))
