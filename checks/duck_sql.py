@@ -297,11 +297,13 @@ _TABLES: dict[str, tuple[tuple, str]] = {
               ASOF LEFT JOIN ticks n ON q.series = n.series AND q.ts <= n.m)"""),
     "traces": (("net", "nearest", "minutes"), """
         SELECT upper(split_part(series, '_', 1)) AS signal, split_part(series, '_', 2) AS side, e.id,
-               k AS off, CASE series WHEN 'rh_in' THEN rh_in WHEN 'rh_out' THEN rh_out
-                                     WHEN 'ah_in' THEN ah_in ELSE ah_out END AS v
-        FROM (SELECT row_number() OVER () AS id, ts FROM net) e
-        JOIN nearest USING (ts) CROSS JOIN range(-20, 31) g(k)
-        LEFT JOIN minutes mm ON mm.ts = tick + to_minutes(k)"""),
+               date_diff('minute', tick, e.at) AS off,
+               CASE series WHEN 'rh_in' THEN rh_in WHEN 'rh_out' THEN rh_out
+                           WHEN 'ah_in' THEN ah_in ELSE ah_out END AS v
+        FROM (SELECT n.id, series, tick, unnest(generate_series(tick - INTERVAL 20 MINUTE, tick + INTERVAL 30 MINUTE,
+                                                                INTERVAL 1 MINUTE)) AS at
+              FROM (SELECT row_number() OVER () AS id, ts FROM net) n JOIN nearest USING (ts)) e
+        LEFT JOIN minutes mm ON mm.ts = e.at"""),
     "good_traces": (("traces",), """
         SELECT signal, id, max(base) FILTER (WHERE side = 'in') AS base_in,
                max(base) FILTER (WHERE side = 'out') AS base_out
