@@ -330,14 +330,17 @@ def name_normalize(b):
     return b.rows_a().unionByName(b.rows_b())
 
 
+def _matches(b):
+    return lk.form_matches(*b.forms(), best_only=False).select("norm_a", "norm_b")
+
+
 def match_parts(b):
-    return lk.with_parts(lk.equality_pairs(*b.forms())).select("norm_a", "norm_b", "contain", "acronym")
+    """All matches with the parts that have a column form."""
+    return lk.with_parts(_matches(b)).select("norm_a", "norm_b", "contain", "acronym", "token")
 
 
 def match_jw(b):
-    return lk.with_parts(lk.equality_pairs(*b.forms())).select(
-        "norm_a", "norm_b", F.col("char").alias("jaro_winkler")
-    )
+    return lk.with_parts(_matches(b)).select("norm_a", "norm_b", F.col("char").alias("jaro_winkler"))
 
 
 _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {

@@ -675,12 +675,11 @@ _FINAL: dict[str, tuple[tuple, str]] = {
     "match_candidates": (("normed",), """
         SELECT block, count(DISTINCT a.raw) AS n_a, count(DISTINCT b.raw) AS n_b, count(*) AS n_pairs
         FROM (FROM normed WHERE side = 'a') a JOIN (FROM normed WHERE side = 'b') b USING (block) GROUP BY block"""),
-    "match_parts": (("form_pairs",), f"""
-        SELECT {_cols('norm_a, norm_b, acronym', 'contain')} FROM form_pairs
-        WHERE contain > 0 OR acr_a = norm_b OR acr_b = norm_a"""),
-    "match_jw": (("form_pairs",), f"""
-        SELECT norm_a, norm_b, {_r('jaro_winkler_similarity(norm_a, norm_b)', 'jaro_winkler')} FROM form_pairs
-        WHERE contain > 0 OR acr_a = norm_b OR acr_b = norm_a"""),
+    "match_parts": (("scored",), f"""
+        SELECT {_cols('norm_a, norm_b, acronym', 'contain')}, {_r('ratio / 100', 'token')} FROM scored WHERE score >= 0.6"""),
+    "match_jw": (("scored",), f"""
+        SELECT norm_a, norm_b, {_r('jaro_winkler_similarity(norm_a, norm_b)', 'jaro_winkler')} FROM scored
+        WHERE score >= 0.6"""),
     "match_scored": (("scored",), f"""
         SELECT {_cols('norm_a, norm_b, n_rows_a, n_rows_b', 'score')} FROM scored WHERE score >= 0.6"""),
     "match_best": (("scored", "normed"), f"""

@@ -151,6 +151,10 @@ def similarities(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         )
 
 
+# a filter on its result must not make it run again below a distinct
+similarities = similarities.asNondeterministic()
+
+
 def with_parts(pairs: DataFrame) -> DataFrame:
     """Add the four parts of the score to (norm_a, norm_b)."""
     a, b = F.col("norm_a"), F.col("norm_b")
