@@ -6,8 +6,9 @@ features: densities and maxima of the lexicon's weights for words, stems and
 words with look-alike signs read as letters, hits near a second-person word,
 rates of capitals, punctuation and obfuscation.  Trees are fitted on a second
 part of the labelled rows and an isotonic curve on a third.  Fitting uses a
-sample bounded by ``MOST_TOXIC`` and ``MOST_OTHER`` rows; scoring covers all
-rows, and language, source, labels and identifiers never enter a feature.
+sample bounded by ``MOST_TOXIC`` and ``MOST_OTHER`` distinct texts, each weighted by
+the inverse rate at which its class was drawn, so that 0.5 means the same at
+every size; scoring covers all rows, and language, source, labels and identifiers never enter a feature.
 
 Defined cases: null texts are empty, and empty texts are scored like others;
 a document labelled twice counts as toxic if one label says so; null labels are
@@ -31,7 +32,7 @@ from hygroflow.llm import tables
 from hygroflow.llm import words as wd
 from hygroflow.llm.tables import stored
 
-#: Labelled rows to learn from (expected number), by label.
+#: Labelled texts to learn from (expected number), by label.
 MOST_TOXIC, MOST_OTHER = 10_000, 20_000
 HELD_OUT = (5, 0)
 #: Shares of those rows for the lexicon and for the trees; the rest calibrates.
@@ -233,31 +234,39 @@ class Scorer:
         known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-        rate = F.when(F.col("toxic") == 1, min(1.0, MOST_TOXIC / max(1, counts.get(1, 0)))).otherwise(
-            min(1.0, MOST_OTHER / max(1, counts.get(0, 0)))
+        docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+        # texts are drawn, not rows, so that each text of a class comes in at the same rate however many copies it has
+        keyed = docs.select("doc_id", "text_key").join(known, "doc_id").groupBy("text_key")
+        keyed = stored(keyed.agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled-keys")
+        texts = {r["toxic"]: r["count"] for r in keyed.groupBy("toxic").count().collect()}
+        rate = F.when(F.col("toxic") == 1, min(1.0, MOST_TOXIC / max(1, texts.get(1, 0)))).otherwise(
+            min(1.0, MOST_OTHER / max(1, texts.get(0, 0)))
         )
-        sample = known.where(_draw("sample") < rate)
+        # a text stands for 1 / rate texts of its class, so odds are those of all labelled texts at every size
+        sample = keyed.where(_draw("sample") < rate).withColumn("weight", 1 / rate).withColumn("part", _draw("part"))
         # a label table of MOST_TOXIC + MOST_OTHER rows at most, so it may be broadcast
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-        rows = rows.dropDuplicates(["text"]).withColumn("part", _draw("part"))
-        rows = stored(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part"), "labelled")
+        rows = docs.join(F.broadcast(sample), ["doc_id", "text_key"]).dropDuplicates(["text"])
+        rows = stored(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part", "weight"), "labelled")
         self.share = counts.get(1, 0) / max(1, sum(counts.values()))
         lexicon_rows = rows.where(F.col("part") < LEXICON_SHARE)
         self.lexicon = learned_lexicon(lexicon_rows)
-        packed = rows.where(F.col("part") >= LEXICON_SHARE).select("text", F.struct("toxic", "part").alias("carried"))
+        packed = rows.where(F.col("part") >= LEXICON_SHARE).select("text", F.struct("toxic", "part", "weight").alias("carried"))
         fit = _with_features(packed, "carried", self.lexicon).select("carried.*", *FEATURES)
-        fit = stored(self._vector(fit).select("part", F.col("toxic").cast("double").alias("label"), "vector"), "features")
+        label = F.col("toxic").cast("double").alias("label")
+        fit = stored(self._vector(fit).select("part", "weight", label, "vector"), "features")
         self.trees = self.curve = None
         for_trees = fit.where(F.col("part") < LEXICON_SHARE + TREE_SHARE).coalesce(4)
         if for_trees.agg(F.count_distinct("label")).first()[0] < 2:
             return
         trees = GBTClassifier(
-            featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=17, maxMemoryInMB=64
+            featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=17,
+            maxMemoryInMB=64,
         )
         self.trees = trees.fit(for_trees)
-        rest = self._raw(fit.where(F.col("part") >= LEXICON_SHARE + TREE_SHARE)).select("raw", "label").coalesce(4)
+        rest = self._raw(fit.where(F.col("part") >= LEXICON_SHARE + TREE_SHARE)).select("raw", "label", "weight").coalesce(4)
         if rest.agg(F.count_distinct("label")).first()[0] == 2:
-            self.curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(rest)
+            curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score")
+            self.curve = curve.fit(rest)
 
     @staticmethod
     def _vector(rows: DataFrame) -> DataFrame:

@@ -101,3 +101,21 @@ def test_features_see_what_they_name():
     f = dict(zip(toxicity.FEATURES, row, strict=True))
     assert f["word_max"] == 3 and f["alike_sum"] == 6 and f["hits"] == f["hits_near"] == 1
     assert f["capital_words"] > 0 and f["exclamations"] > 0 and f["digits_inside"] > 0 and f["tripled"] > 0
+
+
+def test_scores_do_not_depend_on_the_rates_of_the_sample(spark, monkeypatch):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(3000):
+        text = sentence("aa", rng.randrange(10, 40)).split()
+        doubtful = i % 5 == 0
+        if doubtful:
+            text.insert(rng.randrange(len(text)), "gromf")
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(rng.random() < (0.3 if doubtful else 0.01))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_OTHER", 400)
+    got = [r for r in toxicity.scores(docs, labels).collect() if r["doc_id"] % 5 == 0]
+    assert np.mean([r["score"] for r in got]) < 0.45
+    assert np.mean([r["predicted"] for r in got]) < 0.1
