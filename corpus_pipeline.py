@@ -6,8 +6,10 @@ then copies, then all but the smallest identifier of each group of near copies
 (words of five, similarity 0.8), then documents that contain a benchmark item.
 The last one packs what is left into sequences.
 
-A stage that names documents by identifier keeps rows without one, and treats
-rows that share one alike.  Empty tables pass through every stage.
+The near-copy and benchmark stages number the rows of a stored copy and remove by
+number, so rows without identifier or with a shared one are judged by their own
+text; a row without identifier stays only where its group has none with one.
+Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -27,15 +29,27 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return exact_dedup.kept_documents(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A stored copy whose rows have a number of their own, ``__row``."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.similar_groups(docs)
-    dropped = stored(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return without(docs, "doc_id", dropped)
+    rows = numbered(docs)
+    groups = jaccard_join.similar_groups(rows.select(F.col("__row").alias("doc_id"), "text"))
+    groups = stored(groups.select(F.col("doc_id").alias("__row"), "component_id"), "near-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first)
+    dropped = stored(groups.select("__row").join(kept.select("first.__row"), "__row", "left_anti"), "near-copies")
+    return without(rows, "__row", dropped).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return without(docs, "doc_id", stored(found.select("doc_id").distinct(), "leaks"))
+    rows = numbered(docs)
+    items = read(spark, sf_dir, "benchmark", "text").withColumn("item_id", F.monotonically_increasing_id())
+    found = decontamination.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), items)
+    dropped = stored(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
+    return without(rows, "__row", dropped).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,17 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_or_with_a_shared_identifier_are_judged_by_their_text(spark, folder):
+    where, items = folder
+    text = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, text("a")), (None, text("a") + " tail"), (1, text("b")), (2, text("c")), (1, text("c") + " tail")]
+    rows += [(None, text("d")), (None, text("d") + " tail"), (3, text("e") + " " + items[0][1]), (3, text("f"))]
+    rows += [(None, text("g") + " " + items[1][1]), (None, text("h"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = corpus_pipeline.near_duplicate_filter(spark, docs, where)
+    docs = corpus_pipeline.decontamination_filter(spark, docs, where)
+    got = sorted(((r["text"].split()[0], r["doc_id"]) for r in docs.collect()), key=repr)
+    assert docs.columns == ["doc_id", "text"]
+    assert got == [("a0", 1), ("b0", 1), ("c0", 1), ("d0", None), ("f0", 3), ("h0", None)]
