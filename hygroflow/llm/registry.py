@@ -6,9 +6,12 @@ from hygroflow.llm import (
     decontamination,
     exact_dedup,
     html_extraction,
+    importance,
     jaccard_join,
     language_id,
     packing,
+    piece_codec,
+    prefix_trie,
     secret_scans,
     sharding,
     toxicity,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_url_filters": url_filters.query,
     "op10_language_id": language_id.query,
+    "op11_sentencepiece": piece_codec.query,
+    "op12_importance_resampling": importance.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE_SQL = {
@@ -33,4 +39,6 @@ ORACLE_SQL = {
     "op2_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
+    "op12_importance_resampling": importance.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
