@@ -1,4 +1,4 @@
-"""CSV and JSON files, and table appends."""
+"""CSV and JSON files."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from hygroflow.session import shared_folder
+from hygroflow.session import Files, shared_folder
 
 
 #: A quote inside a text is doubled and white space stays.  NULL is an empty field and an
@@ -48,14 +48,11 @@ def write_chart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append(df: DataFrame, table: str) -> None:
-    df.write.mode("append").saveAsTable(table)
-
-
 def csv_roundtrip(df: DataFrame) -> DataFrame:
     """Write a table as CSV under the shared folder and read it back with its schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_csv(df, path)
+    Files(spark).delete_on_exit(path)
     schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema])
     return read_csv(spark, path, schema)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hygroflow.session import stored
+from hygroflow.sources.tables import Tables
 
 
 def stringify(df: DataFrame) -> DataFrame:
@@ -16,11 +16,22 @@ def stringify(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def snapshot_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+def copy_tables(tables: Tables, frames: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Replace every named table by the all-text copy of its frame and return the rows written.
+
+    Each table changes by itself: a job lost between two tables leaves the first
+    new and the second old, and running it again ends with all new.
+    """
+    return {name: tables.replace(name, stringify(df)).rows for name, df in frames.items()}
+
+
+def snapshot_counts(frames: Mapping[str, DataFrame], tables: Tables | None = None) -> DataFrame:
     """Rows, cells with a value and characters of every table's all-text copy, as read back."""
+    tables = tables or Tables(next(iter(frames.values())).sparkSession)
+    copy_tables(tables, frames)
     parts = []
-    for name, df in tables.items():
-        copy = stored(stringify(df), f"snapshot-{name}")
+    for name in frames:
+        copy = tables.scan(name)
         cells = [F.col(f"`{c}`") for c in copy.columns]
         parts.append(
             copy.agg(
@@ -30,36 +41,3 @@ def snapshot_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
             ).select(F.lit(name).alias("table_name"), "*")
         )
     return reduce(DataFrame.unionByName, parts)
-
-
-def copy_tables(tables: Mapping[str, DataFrame], database: str) -> dict[str, int]:
-    """Replace ``database.name`` for every table and return the rows written.
-
-    The rows are counted while they are written; the stored table is counted
-    as well (from file footers) and both must agree.
-    """
-    written = {}
-    for name, df in tables.items():
-        seen = Observation(f"copy_{name}")
-        (
-            stringify(df)
-            .observe(seen, F.count(F.lit(1)).alias("n"))
-            .write.mode("overwrite")
-            .saveAsTable(f"{database}.{name}")
-        )
-        stored = df.sparkSession.table(f"{database}.{name}").count()
-        if stored != seen.get["n"]:
-            raise RuntimeError(f"{name}: wrote {seen.get['n']} rows, found {stored}")
-        written[name] = stored
-    return written
-
-
-def replace_table(df: DataFrame, name: str) -> None:
-    """Create or replace a table from a result."""
-    df.write.mode("overwrite").saveAsTable(name)
-
-
-def scan(spark: SparkSession, name: str, *columns: str) -> DataFrame:
-    """Projected scan of a table or view."""
-    table = spark.table(name)
-    return table.select(*columns) if columns else table
