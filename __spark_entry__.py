@@ -7,7 +7,9 @@ that two engines can be compared by value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from hygroflow.operators import buckets as bk
 from hygroflow.operators import events as ev
 from hygroflow.operators import linkage as lk
 from hygroflow.operators import series as sr
+from hygroflow.operators.ordering import positioned
 from hygroflow.plans import customs as cu
 from hygroflow.plans import dashboard as db
 from hygroflow.plans import measures as ms
@@ -26,7 +29,9 @@ from hygroflow.plans import operations as op
 from hygroflow.plans import pump_study as ps
 from hygroflow.plans import slopes as sl
 from hygroflow.settings import AH_EDGES, RH_EDGES, Clock, CustomsRule
+from hygroflow.session import Scope
 from hygroflow.sources import files, snapshot
+from hygroflow.sources.tables import Tables
 from hygroflow.sources.testbed import FLOOR, Testbed
 from hygroflow.streaming import incremental as inc
 
@@ -59,20 +64,26 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*columns)
 
 
+@dataclass(frozen=True)
 class _Bench(Testbed):
-    """Intermediate tables, all of them lazy plans."""
+    """Intermediate tables: lazy plans, or tables of a scope if one is open for the folder."""
+
+    scope: Scope | None = None
+
+    def _shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return self.scope.table(name, build) if self.scope else build()
 
     def readings(self):
         return bk.plausible_readings(self.sensor_data(), LOCAL)
 
     def buckets(self):
-        return db.bucket_table(self.sensor_data(), LOCAL)
+        return self._shared("buckets", lambda: db.bucket_table(self.sensor_data(), LOCAL))
 
     def pump(self):
         return db.pump_daily(self.actuator_measure(), LOCAL)
 
     def effects(self):
-        return db.event_effects(self.wide(), self.actuator_measure(), LOCAL)
+        return db.event_effects(self.wide(), self.actuator_measure(), LOCAL, stats=self.stats())
 
     def daily_events(self):
         return db.event_daily(self.effects())
@@ -81,19 +92,32 @@ class _Bench(Testbed):
         return db.daily_full(self.buckets(), self.pump(), self.daily_events())
 
     def medians(self):
-        return sr.minute_median(sr.minute_readings(self.sensor_data()))
+        return self._shared("medians", lambda: sr.minute_median(sr.minute_readings(self.sensor_data())))
 
     def wide(self):
-        return ps.minute_table(self.sensor_data())
+        return self._shared("minutes", lambda: ps.minute_table(self.sensor_data()))
 
     def events(self):
         return ps.study_events(self.actuator_measure(), STORED)
 
+    def stats(self):
+        """Window statistics of all anchors; both event identities have the same start times."""
+        return self._shared("window_stats", lambda: ev.window_stats(self.anchors_of_days(), self.wide()))
+
     def net(self):
-        return ps.event_net(self.events(), self.wide(), STORED)
+        return self._shared("event_net", lambda: ps.event_net(self.events(), self.wide(), STORED, stats=self.stats()))
+
+    def traces(self):
+        return self._shared("traces", lambda: ps.traces(self.net(), self.wide()))
+
+    def study(self):
+        return self._shared("study_state", lambda: ps.study_state(self.net()))
 
     def tests(self):
-        return ps.ttest_net(self.net())
+        return ps.ttest_net(self.study())
+
+    def features(self):
+        return self._shared("slope_features", lambda: sl.slope_features(self.events(), self.wide()))
 
     def weather(self):
         hours = inc.explode_payload(self.weather_payload())
@@ -122,7 +146,13 @@ class _Bench(Testbed):
         return lk.prepared(self.names_b())
 
     def forms(self):
-        return lk.forms(self.rows_a()), lk.forms(self.rows_b())
+        return (
+            self._shared("forms_a", lambda: lk.forms(self.rows_a())),
+            self._shared("forms_b", lambda: lk.forms(self.rows_b())),
+        )
+
+    def matches(self):
+        return self._shared("matches", lambda: lk.match_scored(*self.forms()))
 
 
 def _ts_of(b: _Bench, per_anchor: DataFrame) -> DataFrame:
@@ -156,12 +186,39 @@ def sync_executions(b):
     )
 
 
+def weather_load(b):
+    """The hourly table after two batches, the first of which came twice."""
+    tables = Tables(b.spark)
+    tables.replace("weather_hourly", b.weather())
+    payload = b.weather_payload()
+    early = payload.where(F.col("start") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    for batch, part in ((0, early), (0, early), (1, payload)):
+        inc.load_weather(tables, part, "landed", batch)
+    return tables.scan("weather_hourly")
+
+
+def executions_load(b):
+    """The table of executions after the step has run twice; identifiers differ from run to run."""
+    tables = Tables(b.spark)
+    tables.replace("all_executions", b.all_executions())
+    for _ in range(2):
+        inc.load_executions(tables, b.calendar_executions(), b.schedule_data(), b.schedule())
+    return tables.scan("all_executions", "_source", "start_time", "runtime")
+
+
+def slope_table(b):
+    """The classified events as the stored table shows them."""
+    tables = Tables(b.spark)
+    tables.replace("slopes", sl.slope_class(b.features()))
+    return tables.scan("slopes", "id_evento", "franja", "delta_detach", "class_v0")
+
+
 def chart_daily(b):
-    return db.chart_daily(b.daily())
+    return positioned(db.chart_daily(b.daily()), [F.col("day").asc()])
 
 
 def chart_hourly(b):
-    return db.chart_hourly(db.hourly_profile(b.buckets()))
+    return positioned(db.chart_hourly(db.hourly_profile(b.buckets())), [F.col("label").asc()])
 
 
 def executed_calendar(b):
@@ -179,7 +236,7 @@ def band_filter(b):
 
 
 def measures_slice(b):
-    return ms.measure_series(b.measures(), "Temperature 1", MEASURE_DAY)
+    return positioned(ms.measure_series(b.measures(), "Temperature 1", MEASURE_DAY), [F.col("fecha_hora").asc()])
 
 
 def measures_pivot(b):
@@ -267,7 +324,7 @@ def gap_fill(b):
 
 
 def event_profile(b):
-    return ps.event_profile(b.net(), b.wide())
+    return ev.event_profile(b.traces())
 
 
 def event_net(b):
@@ -275,17 +332,13 @@ def event_net(b):
 
 
 def ordinal_slope(b):
-    stats = ev.window_stats(b.anchors_of_days(), b.wide()).where("ah_covered")
+    stats = b.stats().where("ah_covered")
     kept = ["ah_slope_in", "ah_slope_out", "rh_slope_in", "rh_slope_out"]
     return _ts_of(b, stats).select("ts", *kept)
 
 
-def slope_features(b):
-    return sl.slope_features(b.events(), b.wide())
-
-
 def slope_class(b):
-    return sl.slope_class(sl.slope_features(b.events(), b.wide())).select("id_evento", "class_v0")
+    return sl.slope_class(b.features()).select("id_evento", "class_v0")
 
 
 def absolute_humidity(b):
@@ -331,7 +384,17 @@ def name_normalize(b):
 
 
 def _matches(b):
-    return lk.form_matches(*b.forms(), best_only=False).select("norm_a", "norm_b")
+    return b.matches().select("norm_a", "norm_b")
+
+
+def match_rows(b):
+    """Matching spellings with the parts of their score, best first."""
+    order = [F.col("score").desc(), F.col("company_a").asc(), F.col("company_b").asc()]
+    return positioned(lk.match_rows(b.rows_a(), b.rows_b(), b.matches()), order)
+
+
+def match_best(b):
+    return positioned(lk.match_best(b.rows_a(), *b.forms()), [F.col("company_a").asc()])
 
 
 def match_parts(b):
@@ -347,7 +410,11 @@ _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "snapshot_counts": snapshot_counts,
     "weather_explode": weather_explode,
     "weather_new_rows": weather_new_rows,
+    "weather_load": weather_load,
+    "weather_rejects": lambda b: inc.payload_rejects(b.faulty_payload()),
+    "weather_reject_counts": lambda b: inc.reject_counts(inc.payload_rejects(b.faulty_payload())),
     "sync_executions": sync_executions,
+    "executions_load": executions_load,
     "chart_daily": chart_daily,
     "chart_hourly": chart_hourly,
     "csv_roundtrip": csv_roundtrip,
@@ -383,14 +450,15 @@ _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "ordinal_slope": ordinal_slope,
     "event_net": event_net,
     "event_profile": event_profile,
-    "score_histogram": lambda b: ps.score_histogram(b.net()),
-    "slot_summary": lambda b: ps.slot_summary(b.net()),
-    "slot_boxplot": lambda b: ps.slot_boxplot(b.net()),
+    "score_histogram": lambda b: ps.score_histogram(b.study()),
+    "slot_summary": lambda b: ps.slot_summary(b.study()),
+    "slot_boxplot": lambda b: ps.slot_boxplot(b.study()),
     "ttest_net": lambda b: b.tests(),
     "pump_verdict": lambda b: ps.pump_verdict(b.tests()),
     "event_relative_metrics": event_relative_metrics,
-    "slope_features": slope_features,
+    "slope_features": lambda b: b.features(),
     "slope_class": slope_class,
+    "slope_table": slope_table,
     "online_hours": lambda b: op.online_hours(b.sensor_data(), LOCAL),
     "online_totals": online_totals,
     "attempts_by_state": lambda b: op.attempts_by_state(b.attempts()),
@@ -406,13 +474,31 @@ _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "match_candidates": lambda b: lk.block_sizes(b.rows_a(), b.rows_b()),
     "match_parts": match_parts,
     "match_jw": match_jw,
-    "match_scored": lambda b: lk.match_scored(*b.forms()),
-    "match_best": lambda b: lk.match_best(b.rows_a(), *b.forms()),
+    "match_scored": lambda b: b.matches(),
+    "match_rows": match_rows,
+    "match_best": match_best,
 }
 
 
+_SCOPES: dict[str, Scope] = {}
+
+
+@contextmanager
+def shared_tables(spark: SparkSession, folder: str) -> Iterator[Scope]:
+    """Until the end, queries on ``folder`` share their intermediate tables; then these are deleted.
+
+    Results must be collected or written inside.
+    """
+    with Scope(spark) as scope:
+        _SCOPES[folder] = scope
+        try:
+            yield scope
+        finally:
+            del _SCOPES[folder]
+
+
 def _bound(build: Callable[[_Bench], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: _rounded(build(_Bench(spark, folder)))
+    return lambda spark, folder: _rounded(build(_Bench(spark, folder, _SCOPES.get(folder))))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -124,6 +124,22 @@ _TABLES: dict[str, tuple[tuple, str]] = {
                           avg(value % 100) AS relative_humidity_2m, min(value) AS rain,
                           max(value) AS surface_pressure, avg(value % 20) AS wind_speed_10m
                    FROM events GROUP BY 1) x ON x.hr = d + to_hours(CAST(h AS BIGINT))"""),
+    "faulty": (("weather",), """
+        SELECT date_trunc('day', datetime)::TIMESTAMP AS start, CAST(extract('hour' FROM datetime) AS INTEGER) AS position,
+               temperature_2m, relative_humidity_2m, rain, surface_pressure, wind_speed_10m FROM weather
+        UNION ALL
+        SELECT d, 24, t, h, r, p, w
+        FROM (SELECT date_trunc('day', datetime)::TIMESTAMP AS d, max(temperature_2m) AS t, max(relative_humidity_2m) AS h,
+                     max(rain) AS r, max(surface_pressure) AS p, max(wind_speed_10m) AS w FROM weather GROUP BY 1)
+        WHERE day(d) % 3 = 0
+        UNION ALL
+        SELECT DISTINCT date_trunc('day', datetime)::TIMESTAMP, 25, NULL, NULL, NULL, NULL, NULL
+        FROM weather WHERE day(datetime) % 3 = 0"""),
+    "rejected": (("faulty",), """
+        SELECT start, start + INTERVAL 1 DAY AS "end", CASE WHEN day(start) % 7 = 0 THEN 0 ELSE 3600 END AS step_s, position,
+               CASE WHEN day(start) % 7 = 0 THEN 'no axis' ELSE 'beyond the axis' END AS reason,
+               temperature_2m, relative_humidity_2m, rain, surface_pressure, wind_speed_10m
+        FROM faulty WHERE day(start) % 7 = 0 OR position >= 24"""),
     "customs": ((), """
         SELECT p_name AS description, p_type AS origin, p_brand AS cargo,
                p_type || ' ' || p_brand AS data_type,
@@ -379,11 +395,15 @@ _TABLES: dict[str, tuple[tuple, str]] = {
         FROM measures WHERE fecha_hora >= '2024-01-02' AND fecha_hora < '2024-01-05'
              AND medida IN ('Temperature 1', 'Temperature 2', 'w_temp') GROUP BY 1"""),
     # -- names ------------------------------------------------------------------------------
-    "names": ((), """
-        SELECT 'a' AS side, raw FROM (SELECT DISTINCT p_name || ' Inc.' AS raw FROM part)
+    "lots": ((), """
+        SELECT p_name, p_brand,
+               translate(reverse(lpad(CAST(p_partkey // 10 AS VARCHAR), 6, '0')), '0123456789', 'abcdefghij') AS lot
+        FROM part"""),
+    "names": (("lots",), """
+        SELECT 'a' AS side, raw FROM (SELECT DISTINCT lot || ' ' || p_name || ' Inc.' AS raw FROM lots)
         UNION ALL
-        SELECT 'b', raw FROM (SELECT upper(p_name) || ' & ' || p_brand || ' GmbH' AS raw FROM part
-                              UNION SELECT p_name || 's Ltd.' FROM part)"""),
+        SELECT 'b', raw FROM (SELECT upper(lot || ' ' || p_name) || ' & ' || p_brand || ' GmbH' AS raw FROM lots
+                              UNION SELECT lot || ' ' || p_name || 's Ltd.' FROM lots)"""),
     "normed": (("names",), """
         SELECT side, raw, norm, array_to_string(list_transform(string_split(norm, ' '), lambda w: left(w, 1)), '') AS acr,
                left(norm, 4) AS block
@@ -514,6 +534,20 @@ _FINAL: dict[str, tuple[tuple, str]] = {
     "weather_explode": (("weather",), f"SELECT {_cols('datetime', *_WEATHER)} FROM weather"),
     "weather_new_rows": (("weather",), f"""
         SELECT {_cols('datetime', *_WEATHER)} FROM weather WHERE extract('hour' FROM datetime) % 2 = 1"""),
+    "weather_load": (("weather",), f"SELECT {_cols('datetime', *_WEATHER)} FROM weather"),
+    "weather_rejects": (("rejected",), "SELECT " + _cols('start, "end", step_s, position, reason', *_WEATHER) + " FROM rejected"),
+    "weather_reject_counts": (("rejected",), """
+        SELECT start, reason, count(*) AS n_rejected, min(position) AS first_position,
+               count(coalesce(temperature_2m, relative_humidity_2m, rain, surface_pressure, wind_speed_10m)) AS n_with_value
+        FROM rejected GROUP BY ALL"""),
+    "executions_load": (("calendar", "runs", "all_executions"), """
+        FROM all_executions
+        UNION ALL
+        SELECT * FROM (SELECT 'calendar' AS _source, start_time, execution_time AS runtime
+                       FROM calendar WHERE executed = 1
+                       UNION ALL SELECT 'schedule', last_execution, execution_time FROM runs) r
+        WHERE NOT EXISTS (SELECT 1 FROM all_executions a WHERE a._source = r._source
+                          AND a.start_time = r.start_time AND a.runtime = r.runtime)"""),
     "sync_executions": (("calendar", "runs", "all_executions"), """
         SELECT * FROM (SELECT 'calendar' AS _source, start_time, execution_time AS runtime
                        FROM calendar WHERE executed = 1
@@ -522,14 +556,15 @@ _FINAL: dict[str, tuple[tuple, str]] = {
                           AND a.start_time = r.start_time AND a.runtime = r.runtime)"""),
     "chart_daily": (("daily_full",), "SELECT day, " + ", ".join(
         _r(_exact(c, 3), c) for c in [*_DAILY, "median_score", "pct_positive"])
-        + ", n_events, pump_active FROM daily_full"),
+        + ", n_events, pump_active, row_number() OVER (ORDER BY day) AS position FROM daily_full"),
     "chart_hourly": (("hourly",), "SELECT printf('%02d:00', hour) AS label, " + ", ".join(
-        _r(_exact(c, 2 if c in ("temp_in", "temp_out") else 3), c) for c in _MEANS) + " FROM hourly"),
+        _r(_exact(c, 2 if c in ("temp_in", "temp_out") else 3), c) for c in _MEANS) + ", hour + 1::BIGINT AS position FROM hourly"),
     "csv_roundtrip": (("customs",), "SELECT * FROM customs"),
     "executed_calendar": (("calendar",), "SELECT start_time, execution_time FROM calendar WHERE executed = 1"),
     "band_filter": (("readings",), f"SELECT {_cols('sensor_id, ts', 'val')} FROM readings"),
     "measures_slice": (("measures",), f"""
-        SELECT {_cols('fecha_hora, medida', 'value_min', 'value_avg', 'value_max')} FROM measures
+        SELECT {_cols('fecha_hora, medida', 'value_min', 'value_avg', 'value_max')},
+               row_number() OVER (ORDER BY fecha_hora) AS position FROM measures
         WHERE medida = 'Temperature 1' AND fecha_hora >= '2024-01-02'"""),
     "measures_pivot": (("pivoted",), f"SELECT {_cols('fecha_hora', 'temperature_1', 'temperature_2', 'w_temp')} FROM pivoted"),
     "measures_head": (("pivoted",), f"""
@@ -628,6 +663,10 @@ _FINAL: dict[str, tuple[tuple, str]] = {
               FROM pvalues WHERE baseline = '2b')"""),
     "event_relative_metrics": (("metrics",), f"SELECT {_cols('id_evento, franja', 'tiempo_relativo', 'humedad', 'humedad_externa')} FROM metrics"),
     "slope_features": (("features",), f"SELECT {_cols('id_evento, n_pre, n_post, franja', *_FEATURES)} FROM features"),
+    "slope_table": (("features",), f"""
+        SELECT id_evento, franja, {_r('delta_detach')}, CASE WHEN abs(delta_detach) < 0.02 THEN '0'
+               WHEN slope_relative_post > 0 THEN CASE WHEN delta_detach > 0 THEN 'IF' ELSE 'IS' END
+               WHEN delta_detach < 0 THEN 'DF' ELSE 'DS' END AS class_v0 FROM features"""),
     "slope_class": (("features",), """
         SELECT id_evento, CASE WHEN abs(delta_detach) < 0.02 THEN '0'
                WHEN slope_relative_post > 0 THEN CASE WHEN delta_detach > 0 THEN 'IF' ELSE 'IS' END
@@ -647,12 +686,13 @@ _FINAL: dict[str, tuple[tuple, str]] = {
             FROM net_days UNION ALL
             SELECT 'total', CAST(coalesce(sum(need), 0) AS BIGINT), CAST(coalesce(sum(succ), 0) AS BIGINT) FROM net_days)"""),
     "daily_grades": (("online", "attempts", "net_days"), f"""
-        SELECT day, hours_101, hours_102, hours_103, hours_104, s1, s0, {_r('raw_pct')}, {_r('net_pct')},
+        SELECT day, hours_101, hours_102, hours_103, hours_104,
+               {', '.join(_r(f"online_pct_{s}") for s in (101, 102, 103, 104))}, s1, s0, {_r('raw_pct')}, {_r('net_pct')},
                {_grade('raw_pct')} AS raw_grade, {_grade('net_pct')} AS net_grade
         FROM (SELECT day, {', '.join(f"coalesce(h{s}, 0) AS hours_{s}" for s in (101, 102, 103, 104))},
-                     coalesce(s1, 0) AS s1, coalesce(s0, 0) AS s0, coalesce(total, 0) AS total,
+                     {', '.join(f"online_pct_{s}" for s in (101, 102, 103, 104))}, coalesce(s1, 0) AS s1, coalesce(s0, 0) AS s0, coalesce(total, 0) AS total,
                      {_pct('s1', 'total')} AS raw_pct, {_pct('succ', 'need')} AS net_pct
-              FROM (SELECT day, {', '.join(f"max(online_hours) FILTER (WHERE sensor_id = '{s}') AS h{s}" for s in (101, 102, 103, 104))}
+              FROM (SELECT day, {', '.join(f"max(online_hours) FILTER (WHERE sensor_id = '{s}') AS h{s}, max(pct_online) FILTER (WHERE sensor_id = '{s}') AS online_pct_{s}" for s in (101, 102, 103, 104))}
                     FROM online GROUP BY day)
               FULL JOIN (SELECT day, count(*) FILTER (WHERE state = '1') AS s1,
                                 count(*) FILTER (WHERE state = '0') AS s0, count(*) AS total
@@ -682,8 +722,15 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         WHERE score >= 0.6"""),
     "match_scored": (("scored",), f"""
         SELECT {_cols('norm_a, norm_b, n_rows_a, n_rows_b', 'score')} FROM scored WHERE score >= 0.6"""),
+    "match_rows": (("scored", "normed"), f"""
+        SELECT a.raw AS company_a, b.raw AS company_b, {_r('ratio / 100', 'token')},
+               {_r('jaro_winkler_similarity(norm_a, norm_b)', 'char')}, {_cols('acronym', 'contain', 'score')},
+               row_number() OVER (ORDER BY score DESC, a.raw, b.raw) AS position
+        FROM scored s JOIN normed a ON a.side = 'a' AND a.norm = s.norm_a JOIN normed b ON b.side = 'b' AND b.norm = s.norm_b
+        WHERE score >= 0.6"""),
     "match_best": (("scored", "normed"), f"""
-        SELECT n.raw AS company_a, arg_min(name, (-score, name)) AS company_b, {_r('max(score)', 'score')}
+        SELECT n.raw AS company_a, arg_min(name, (-score, name)) AS company_b, {_r('max(score)', 'score')},
+               row_number() OVER (ORDER BY n.raw) AS position
         FROM scored s JOIN normed n ON n.side = 'a' AND n.norm = s.norm_a
         WHERE score >= 0.6 GROUP BY n.raw"""),
     "distinct_events": (("events2",), "SELECT ts, exec_secs, state FROM events2"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hygroflow.functions import clock, parsing
+from hygroflow.operators import moments
 from hygroflow.operators.quantiles import grouped_median
 from hygroflow.operators.series import long_series, nearest_tick
 from hygroflow.settings import BASELINE_IN, BASELINE_OUT, EventWindow
@@ -265,16 +266,18 @@ def profile_traces(
 
 
 def event_profile(traces: DataFrame) -> DataFrame:
-    """Median, population deviation and event count per signal, side and minute offset."""
+    """Median, population deviation and event count per signal, side and minute offset.
+
+    Rows of one multiplicity are summed up by themselves and the few states per
+    signal, side and minute are merged; deviations never come from large sums.
+    """
     keys = ["signal", "side", "off"]
-    n, val = F.col("n"), F.col("val")
-    weight = F.sum(F.when(val.isNotNull(), n))
-    means = traces.groupBy(*keys).agg((F.sum(n * val) / weight).alias("mean"))
-    # deviations from the mean, not a difference of large sums; a row per signal, side and minute
-    centred = traces.join(F.broadcast(means), keys)
-    spread = centred.groupBy(*keys).agg(
-        F.sum("n").alias("n_events"),
-        F.sqrt(F.sum(n * F.pow(val - F.col("mean"), F.lit(2.0))) / weight).alias("std"),
+    states = traces.groupBy(*keys, "n").agg(
+        (F.count(F.lit(1)) * F.col("n")).alias("n_events"), moments.state(F.col("val")).alias("found")
+    )
+    spread = states.groupBy(*keys).agg(
+        F.sum("n_events").alias("n_events"),
+        moments.stddev_pop(moments.merged(moments.weighted(F.col("found"), F.col("n")))).alias("std"),
     )
     medians = grouped_median(traces, keys, "val", "median", weight="n")
     return spread.join(medians, keys, "left").select(*keys, "median", "std", "n_events")

@@ -30,7 +30,9 @@ from hygroflow.functions.similarity import jaro_winkler, token_set_ratio
 from hygroflow.settings import MatchRule
 
 TILE = 1000
+BUNDLE = 5000
 DIGITS = 4
+_SIGNS = 64
 
 
 def long_limit(rule: MatchRule) -> int:
@@ -223,85 +225,106 @@ def tiles(
     return placed(left, "t_a", "t_b", "i", "j"), placed(right, "t_b", "t_a", "j", "i")
 
 
-def _upper_bounds(a: pd.DataFrame, b: pd.DataFrame, weights: dict, acronym: np.ndarray) -> np.ndarray:
+class _Names:
+    """The names of one side of a bundle: lengths, character counts and words, and the rows of each tile.
+
+    Characters are counted in ``_SIGNS`` classes; a shared class can only raise
+    the number of common characters, so bounds stay bounds.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        self.norm, self.acr, self.name = rows["norm"].tolist(), rows["acr"].tolist(), rows["name"].tolist()
+        self.size = np.array([len(s) for s in self.norm], np.int32)
+        self.signs = np.zeros((len(self.norm), _SIGNS), np.int32)
+        for i, s in enumerate(self.norm):
+            codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+            self.signs[i] = np.bincount(codes % _SIGNS, minlength=_SIGNS)
+        self.words = [set(s.split()) for s in self.norm]
+        # repeated words are dropped before the token ratio, which can only shorten the texts
+        self.repeats = np.array([len(w) < len(s.split()) for w, s in zip(self.words, self.norm)], bool)
+        self.tiles: dict[tuple, list[int]] = {}
+        for i, key in enumerate(rows[[*GROUP, "i", "j"]].itertuples(index=False, name=None)):
+            self.tiles.setdefault(key, []).append(i)
+
+
+def _upper_bounds(a: _Names, b: _Names, left: list[int], right: list[int], weights: dict, acronym: np.ndarray) -> np.ndarray:
     """No pair of the tile (without containment) scores above its entry.
 
     Common characters limit both Jaro and the in-order matches of the token
     ratio; a shared word makes a full token ratio possible.
     """
-    size_a = a["norm"].str.len().to_numpy()[:, None]
-    size_b = b["norm"].str.len().to_numpy()[None, :]
-    common = np.zeros((len(a), len(b)), dtype=np.int32)
-    for ch in set().union(*b["norm"]):
-        in_a = a["norm"].map(lambda s, ch=ch: s.count(ch)).to_numpy()[:, None]
-        if in_a.any():
-            in_b = b["norm"].map(lambda s, ch=ch: s.count(ch)).to_numpy()[None, :]
-            common += np.minimum(in_a, in_b)
+    common = np.zeros((len(left), len(right)), np.int32)
+    in_a, in_b = a.signs[left], b.signs[right]
+    for sign in np.flatnonzero(in_a.any(0) & in_b.any(0)):
+        common += np.minimum.outer(in_a[:, sign], in_b[:, sign])
+    size_a, size_b = a.size[left][:, None], b.size[right][None, :]
     jaro = np.where(common > 0, (common / size_a + common / size_b + 1) / 3, 0.0)
     char = np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro)
-
-    words: dict[str, list[int]] = {}
-    for k, name in enumerate(b["norm"]):
-        for word in set(name.split()):
-            words.setdefault(word, []).append(k)
     token = np.minimum(1.0, 2.0 * common / np.maximum(1, size_a + size_b))
-    # repeated words are dropped before the ratio, which can only shorten the texts
-    repeats = [len(set(s.split())) < len(s.split()) for s in a["norm"]]
-    token[repeats, :] = 1.0
-    token[:, [len(set(s.split())) < len(s.split()) for s in b["norm"]]] = 1.0
-    for i, name in enumerate(a["norm"]):
-        for word in set(name.split()):
-            if word in words:
-                token[i, words[word]] = 1.0
+    token[a.repeats[left], :] = 1.0
+    token[:, b.repeats[right]] = 1.0
+    places: dict[str, list[int]] = {}
+    for k, r in enumerate(right):
+        for word in b.words[r]:
+            places.setdefault(word, []).append(k)
+    for i, r in enumerate(left):
+        for word in a.words[r]:
+            if word in places:
+                token[i, places[word]] = 1.0
     return weights["token"] * token + weights["char"] * char + weights["acronym"] * acronym
 
 
-def _tile_matches(a: pd.DataFrame, b: pd.DataFrame, rule: MatchRule, best_only: bool) -> pd.DataFrame:
+def _tile_matches(a: _Names, b: _Names, left: list[int], right: list[int], rule: MatchRule, best_only: bool) -> list[tuple]:
     """Matches inside one tile; pairs from the equality sources are left to them."""
-    w = rule.weights
-    agree = (a["acr"].to_numpy()[:, None] == b["acr"].to_numpy()[None, :]).astype(float)
-    bounds = _upper_bounds(a, b, w, agree)
-    names_b, spellings = b["norm"].tolist(), b["name"].tolist()
-    acr_b = b["acr"].tolist()
-    found = []
-    for i, (norm, acr) in enumerate(zip(a["norm"], a["acr"])):
-        best = None
-        for j in np.argsort(-bounds[i], kind="stable"):
+    w, found = rule.weights, []
+    agree = np.array([[a.acr[i] == b.acr[j] for j in right] for i in left], float)
+    bounds = _upper_bounds(a, b, left, right, w, agree)
+    for row, i in enumerate(left):
+        norm, acr, best = a.norm[i], a.acr[i], None
+        for column in np.argsort(-bounds[row], kind="stable"):
             floor = rule.threshold if best is None else best[0]
-            if bounds[i, j] < floor - 1e-4:  # rounding moves a score by half of that
+            if bounds[row, column] < floor - 1e-4:  # rounding moves a score by half of that
                 break
-            other = names_b[j]
-            if norm in other or other in norm or acr == other or acr_b[j] == norm:
+            j = right[column]
+            other = b.norm[j]
+            if norm in other or other in norm or acr == other or b.acr[j] == norm:
                 continue
             total = (
                 w["token"] * token_set_ratio(norm, other) / 100
                 + w["char"] * jaro_winkler(norm, other)
-                + w["acronym"] * agree[i, j]
+                + w["acronym"] * agree[row, column]
             )
             rounded = round(float(total), DIGITS)
             if rounded < rule.threshold:
                 continue
             if not best_only:
                 found.append((norm, other, rounded))
-            elif best is None or (-rounded, spellings[j]) < (-best[0], best[1]):
-                best = (rounded, spellings[j], other)
+            elif best is None or (-rounded, b.name[j]) < (-best[0], best[1]):
+                best = (rounded, b.name[j], other)
         if best is not None:
             found.append((norm, best[2], best[0]))
-    return pd.DataFrame(found, columns=["norm_a", "norm_b", "score"])
+    return found
 
 
 def tile_matches(
     a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule(), best_only: bool = True, size: int = TILE
 ) -> DataFrame:
+    """Matches of all tiles.  Most groups are a few names, so tiles travel in bundles of about ``BUNDLE`` rows."""
     left, right = tiles(a, b, rule, size)
-    keys = [*GROUP, "i", "j"]
+    bundles = 1 + (a.count() + b.count()) // BUNDLE
+    bundle = F.pmod(F.xxhash64(*GROUP, "i", "j"), F.lit(bundles)).alias("bundle")
+    left, right = left.select(bundle, "*"), right.select(bundle, "*")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _tile_matches(x, y, rule, best_only)
+        ours, theirs, found = _Names(x), _Names(y), []
+        for key, rows in ours.tiles.items():
+            if key in theirs.tiles:
+                found += _tile_matches(ours, theirs, rows, theirs.tiles[key], rule, best_only)
+        return pd.DataFrame(found, columns=["norm_a", "norm_b", "score"])
 
     return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.groupBy("bundle")
+        .cogroup(right.groupBy("bundle"))
         .applyInPandas(compare, "norm_a string, norm_b string, score double")
     )
 
@@ -335,6 +358,22 @@ def match_scored(a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule()) -> D
     )
 
 
+def match_rows(rows_a: DataFrame, rows_b: DataFrame, matches: DataFrame) -> DataFrame:
+    """Matching spellings with the four parts and the score.
+
+    ``matches`` (norm_a, norm_b, score) are the matching forms; the parts are
+    computed once per pair of forms and spread over their spellings.
+    """
+    parts = with_parts(matches.select("norm_a", "norm_b", "score"))
+    left = rows_a.select(F.col("raw").alias("company_a"), F.col("norm").alias("norm_a"))
+    right = rows_b.select(F.col("raw").alias("company_b"), F.col("norm").alias("norm_b"))
+    return (
+        parts.join(left, "norm_a")
+        .join(right, "norm_b")
+        .select("company_a", "company_b", "token", "char", "contain", "acronym", "score")
+    )
+
+
 def match_best(
     rows_a: DataFrame, a: DataFrame, b: DataFrame, rule: MatchRule = MatchRule()
 ) -> DataFrame:

@@ -69,17 +69,16 @@ def event_effects(
     actuator_measure: DataFrame,
     period: Clock = DASHBOARD_CLOCK,
     window: EventWindow = EventWindow(),
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Net absolute-humidity effect of every sufficiently covered event.
 
     ``wide`` is the minute table; it is read more than once, so store it first.
+    ``stats``: window statistics that hold all anchors of the events, if they are known.
     """
     events = ev.distinct_events(actuator_measure, period.floor, ["start_time", "state"])
-    stats = (
-        ev.window_stats(ev.anchors(events), wide, window)
-        .where("ah_covered")
-        .select(*ev.ANCHOR, F.col("ah_net_2b").alias("ah_net"))
-    )
+    stats = ev.window_stats(ev.anchors(events), wide, window) if stats is None else stats
+    stats = stats.where("ah_covered").select(*ev.ANCHOR, F.col("ah_net_2b").alias("ah_net"))
     return events.join(stats, ev.ANCHOR).select(
         "ts",
         "state",

@@ -121,13 +121,14 @@ def daily_grades(sensor_data: DataFrame, actuator_measure: DataFrame, period: Cl
     """Daily table of hours, attempts and graded rates, for days with any data.
 
     As in the published table a day counts when it has attempts or hours of the
-    first sensor.
+    first sensor; a sensor without hours has no percentage online.
     """
     hours = online_hours(sensor_data, period)
     wide_hours = hours.groupBy("day").agg(
         *[
-            F.max(F.when(F.col("sensor_id") == s, F.col("online_hours"))).alias(f"hours_{s}")
+            F.max(F.when(F.col("sensor_id") == s, F.col(c))).alias(f"{name}_{s}")
             for s in SENSORS
+            for name, c in (("hours", "online_hours"), ("online_pct", "pct_online"))
         ]
     )
     per_window = (
@@ -147,13 +148,14 @@ def daily_grades(sensor_data: DataFrame, actuator_measure: DataFrame, period: Cl
     first = f"hours_{next(iter(SENSORS))}"
     return (
         wide_hours.join(counts, "day", "full")
-        .na.fill(0)
+        .na.fill(0, [*(f"hours_{s}" for s in SENSORS), *counts.drop("day").columns])
         .where((F.col("total") > 0) | (F.col(first) > 0))
         .withColumn("raw_pct", _percent(F.col("s1"), F.nullif(F.col("total"), F.lit(0))))
         .withColumn("net_pct", _percent(F.col("succ"), F.nullif(F.col("need"), F.lit(0))))
         .select(
             "day",
             *[f"hours_{s}" for s in SENSORS],
+            *[f"online_pct_{s}" for s in SENSORS],
             "s1",
             "s0",
             "raw_pct",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hygroflow.functions import clock, scoring, student
 from hygroflow.operators import events as ev
+from hygroflow.operators import moments
 from hygroflow.operators import series as sr
 from hygroflow.settings import AH_EDGES, RH_EDGES, SLOTS, STUDY_CLOCK, Clock, EventWindow
 
@@ -23,9 +24,14 @@ def event_net(
     wide: DataFrame,
     period: Clock = STUDY_CLOCK,
     window: EventWindow = EventWindow(),
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per event with enough data on both signals."""
-    stats = ev.window_stats(ev.anchors(events), wide, window).where("rh_covered and ah_covered")
+    """One row per event with enough data on both signals.
+
+    ``stats``: window statistics that hold all anchors of the events, if they are known.
+    """
+    stats = ev.window_stats(ev.anchors(events), wide, window) if stats is None else stats
+    stats = stats.where("rh_covered and ah_covered")
     measured = ["pre_mean", "actual", "net_2a", "net_2b"]
     hour = F.hour(clock.shifted(F.col("ts"), period.shift_hours))
     return events.join(
@@ -42,10 +48,15 @@ def event_net(
     )
 
 
+def traces(net: DataFrame, wide: DataFrame, window: EventWindow = EventWindow()) -> DataFrame:
+    """Zeroed traces of the covered events' anchors."""
+    weighted = net.groupBy(*ev.ANCHOR).agg(F.count(F.lit(1)).alias("n"))
+    return ev.profile_traces(weighted, wide, window)
+
+
 def event_profile(net: DataFrame, wide: DataFrame, window: EventWindow = EventWindow()) -> DataFrame:
     """Normalised event response of the covered events, RH and AH, inside and outside."""
-    weighted = net.groupBy(*ev.ANCHOR).agg(F.count(F.lit(1)).alias("n"))
-    return ev.event_profile(ev.profile_traces(weighted, wide, window))
+    return ev.event_profile(traces(net, wide, window))
 
 
 def _spine(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -55,21 +66,36 @@ def _spine(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def _per_signal(net: DataFrame) -> DataFrame:
-    """(slot_no, signal, score) rows of the two signals."""
+BASELINES = ("2a", "2b")
+
+
+def study_state(net: DataFrame) -> DataFrame:
+    """One state per slot, signal and score: events, and moments of the net effects.
+
+    At most 64 rows, built in one aggregate with partial sums.  Histogram, slot
+    summary, box plot and t-test are all unions of these states.
+    """
     pairs = [
-        F.struct(F.lit(signal).alias("signal"), F.col(f"{signal.lower()}_score").alias("score"))
+        F.struct(
+            F.lit(signal).alias("signal"),
+            F.col(f"{signal.lower()}_score").alias("score"),
+            *[F.col(f"{signal.lower()}_net_{b}").alias(f"net_{b}") for b in BASELINES],
+        )
         for signal in EDGES
     ]
-    return net.select("slot_no", F.inline(F.array(*pairs)))
+    return (
+        net.select("slot_no", F.inline(F.array(*pairs)))
+        .groupBy("slot_no", "signal", "score")
+        .agg(F.count(F.lit(1)).alias("n_events"), *[moments.state(F.col(f"net_{b}")).alias(f"net_{b}") for b in BASELINES])
+    )
 
 
-def score_histogram(net: DataFrame) -> DataFrame:
+def score_histogram(state: DataFrame) -> DataFrame:
     """Events per score on the full 0..7 axis, per signal."""
     spine = _spine(
-        net.sparkSession, [(s, i) for s in EDGES for i in range(len(RH_EDGES) + 1)], "signal string, score int"
+        state.sparkSession, [(s, i) for s in EDGES for i in range(len(RH_EDGES) + 1)], "signal string, score int"
     )
-    counts = _per_signal(net).groupBy("signal", "score").agg(F.count(F.lit(1)).alias("n_events"))
+    counts = state.groupBy("signal", "score").agg(F.sum("n_events").alias("n_events"))
     label = F.when(F.col("signal") == "RH", scoring.score_label(F.col("score"), RH_EDGES, 1)).otherwise(
         scoring.score_label(F.col("score"), AH_EDGES, 2)
     )
@@ -84,24 +110,21 @@ def slot_spine(spark: SparkSession) -> DataFrame:
     return _spine(spark, [(n, label) for n, _, _, label in SLOTS], "slot_no int, slot string")
 
 
-def slot_summary(net: DataFrame) -> DataFrame:
-    by_slot = net.groupBy("slot_no").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.avg("ah_score").alias("mean_score"),
-        F.avg("rh_net_2b").alias("mean_rh_net"),
-        F.avg("ah_net_2b").alias("mean_ah_net"),
+def slot_summary(state: DataFrame) -> DataFrame:
+    is_ah = F.col("signal") == "AH"
+    events = F.sum(F.when(is_ah, F.col("n_events")))
+    by_slot = state.groupBy("slot_no").agg(
+        events.alias("n_events"),
+        (F.sum(F.when(is_ah, F.col("n_events") * F.col("score"))) / events).alias("mean_score"),
+        moments.merged(F.when(~is_ah, F.col("net_2b")))["mean"].alias("mean_rh_net"),
+        moments.merged(F.when(is_ah, F.col("net_2b")))["mean"].alias("mean_ah_net"),
     )
-    return slot_spine(net.sparkSession).join(by_slot, "slot_no", "left").na.fill(0, ["n_events"])
-
+    return slot_spine(state.sparkSession).join(by_slot, "slot_no", "left").na.fill(0, ["n_events"])
 
-def slot_boxplot(net: DataFrame, reach: float = 1.5) -> DataFrame:
-    """Box-plot figures of the scores per slot and signal.
 
-    Scores take eight values: the events are counted per value first, so every
-    later step sees at most eight rows per box.
-    """
-    counts = _per_signal(net).groupBy("slot_no", "signal", "score").agg(F.count(F.lit(1)).alias("n"))
-    boxes = counts.groupBy("slot_no", "signal").agg(
+def slot_boxplot(state: DataFrame, reach: float = 1.5) -> DataFrame:
+    """Box-plot figures of the scores per slot and signal, from at most eight counts per box."""
+    boxes = state.withColumnRenamed("n_events", "n").groupBy("slot_no", "signal").agg(
         F.sum("n").alias("n_events"),
         (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"),
         F.expr("percentile(score, array(0.25, 0.5, 0.75), n)").alias("q"),
@@ -123,7 +146,7 @@ def slot_boxplot(net: DataFrame, reach: float = 1.5) -> DataFrame:
         F.lit(0).cast("long"),
         lambda acc, v: acc + v["n"],
     )
-    return boxes.join(slot_spine(net.sparkSession), "slot_no").select(
+    return boxes.join(slot_spine(state.sparkSession), "slot_no").select(
         "signal",
         "slot_no",
         "slot",
@@ -138,27 +161,26 @@ def slot_boxplot(net: DataFrame, reach: float = 1.5) -> DataFrame:
     )
 
 
-def ttest_net(net: DataFrame) -> DataFrame:
+def ttest_net(state: DataFrame) -> DataFrame:
     """One-sample t-test of the net effects against zero, per signal and baseline."""
-    columns = [(s, b, f"{s.lower()}_net_{b}") for s in EDGES for b in ("2a", "2b")]
-    aggs: list[Column] = []
-    for _, _, c in columns:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}")]
+    columns = [(s, b, f"{s}_{b}") for s in EDGES for b in BASELINES]
+    found = state.agg(
+        *[moments.merged(F.when(F.col("signal") == s, F.col(f"net_{b}"))).alias(c) for s, b, c in columns]
+    )
     rows = [
         F.struct(
             F.lit(s).alias("signal"),
             F.lit(b).alias("baseline"),
-            F.col(f"n_{c}").alias("n"),
-            F.col(f"m_{c}").alias("mean"),
-            F.col(f"s_{c}").alias("std"),
+            F.col(c)["n"].alias("n"),
+            F.col(c)["mean"].alias("mean"),
+            moments.stddev_samp(F.col(c)).alias("std"),
         )
         for s, b, c in columns
     ]
     t = F.try_divide(F.col("mean"), F.col("std") / F.sqrt("n"))
     nu = F.col("n") - 1
     return (
-        net.agg(*aggs)
-        .select(F.inline(F.array(*rows)))
+        found.select(F.inline(F.array(*rows)))
         .withColumn("t", t)
         .withColumn("nu", nu)
         .withColumn("p", student.two_sided_p(F.col("t"), F.col("nu")))

@@ -48,6 +48,11 @@ def write_chart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def in_order(df: DataFrame, position: str = "position") -> DataFrame:
+    """Rows dealt to partitions by ranges of their position, sorted: files of a sink then follow each other."""
+    return df.repartitionByRange(F.col(position)).sortWithinPartitions(position)
+
+
 def csv_roundtrip(df: DataFrame) -> DataFrame:
     """Write a table as CSV under the shared folder and read it back with its schema."""
     spark = df.sparkSession

@@ -168,14 +168,30 @@ class Testbed:
             F.col("p_name").alias("C106 COD. CLASE EMBALAJE"),
         )
 
+    def faulty_payload(self) -> DataFrame:
+        """The landed payloads; every third day has two values too many, every seventh no time step."""
+        payload = self.weather_payload()
+        fields = ["temperature_2m", "relative_humidity_2m", "rain", "surface_pressure", "wind_speed_10m"]
+        day = F.day("start")
+        more = {
+            c: F.when(day % 3 == 0, F.concat(F.col(c), F.array(F.array_max(F.col(c)), F.lit(None)))).otherwise(F.col(c))
+            for c in fields
+        }
+        return payload.withColumns(more).withColumn("step_s", F.when(day % 7 == 0, 0).otherwise(F.col("step_s")))
+
+    def _lots(self) -> DataFrame:
+        """Parts with the word of their lot of ten, whose letters change fastest at the front."""
+        digits = F.lpad(F.floor(F.col("p_partkey") / 10).cast("string"), 6, "0")
+        return self._read("part").withColumn("lot", F.translate(F.reverse(digits), "0123456789", "abcdefghij"))
+
     def names_a(self) -> DataFrame:
-        return self._read("part").select(F.concat("p_name", F.lit(" Inc.")).alias("company")).distinct()
+        return self._lots().select(F.concat_ws(" ", "lot", "p_name", F.lit("Inc.")).alias("company")).distinct()
 
     def names_b(self) -> DataFrame:
         """Spellings with the brand appended, and plural forms that share acronyms."""
-        part = self._read("part")
-        branded = part.select(
-            F.concat(F.upper("p_name"), F.lit(" & "), "p_brand", F.lit(" GmbH")).alias("company")
+        lots = self._lots()
+        branded = lots.select(
+            F.concat(F.upper(F.concat_ws(" ", "lot", "p_name")), F.lit(" & "), "p_brand", F.lit(" GmbH")).alias("company")
         )
-        plural = part.select(F.concat("p_name", F.lit("s Ltd.")).alias("company"))
+        plural = lots.select(F.concat(F.concat_ws(" ", "lot", "p_name"), F.lit("s Ltd.")).alias("company"))
         return branded.unionByName(plural).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hygroflow.functions.similarity import jaro_winkler, token_set_ratio
 from hygroflow.operators import events as ev
 from hygroflow.operators import linkage as lk
+from hygroflow.operators import moments
 from hygroflow.operators import series as sr
 from hygroflow.operators.quantiles import grouped_median, grouped_quantiles
 from hygroflow.plans import operations as op
@@ -271,13 +272,45 @@ def test_files(spark, tmp_path):
 
 # -- study ------------------------------------------------------------------------------
 def test_histogram_sums_to_events(spark):
-    net = spark.createDataFrame([(1, 0, 7), (2, 0, 3), (4, 7, 3)], "slot_no int, rh_score int, ah_score int")
-    rows = ps.score_histogram(net).collect()
+    schema = "slot_no int, rh_score int, ah_score int, rh_net_2a double, rh_net_2b double, ah_net_2a double, ah_net_2b double"
+    net = spark.createDataFrame([(1, 0, 7, *[1.0] * 4), (2, 0, 3, *[2.0] * 4), (4, 7, 3, *[None] * 4)], schema)
+    state = ps.study_state(net)
+    assert state.count() == 6
+    rows = ps.score_histogram(state).collect()
     assert len(rows) == 16
     for signal in ("RH", "AH"):
         assert sum(r["n_events"] for r in rows if r["signal"] == signal) == 3
 
 
+def test_states_merge_like_one_group(spark):
+    rng = random.Random(11)
+    far = [(k, 1e9 + rng.random(), rng.randint(1, 4)) for k in range(6) for _ in range(rng.choice((1, 2, 50)))] + [(9, None, 1)]
+    df = spark.createDataFrame(far, "k int, v double, w long")
+    states = df.groupBy("k", "w").agg(moments.state(F.col("v")).alias("s"))
+    one = states.agg(moments.merged(moments.weighted(F.col("s"), F.col("w"))).alias("m")).first()["m"]
+    flat = [v for _, v, w in far if v is not None for _ in range(w)]
+    assert one["n"] == len(flat) and one["mean"] == pytest.approx(statistics.mean(flat), rel=1e-15)
+    assert one["m2"] == pytest.approx(statistics.pvariance(flat) * len(flat), rel=1e-5)
+    got = df.where("k = 9").agg(moments.state(F.col("v")).alias("s")).select(moments.stddev_samp(F.col("s")), moments.stddev_pop(F.col("s")))
+    assert tuple(got.first()) == (None, None)
+
+
+def test_ttest_and_summary_from_states(spark):
+    rng = random.Random(12)
+    schema = "slot_no int, rh_score int, ah_score int, rh_net_2a double, rh_net_2b double, ah_net_2a double, ah_net_2b double"
+    rows = [(rng.randint(1, 3), rng.randint(0, 7), rng.randint(0, 7), *[rng.gauss(1, 2) for _ in range(4)]) for _ in range(200)]
+    state = ps.study_state(spark.createDataFrame(rows, schema).repartition(5))
+    tests = {(r["signal"], r["baseline"]): r for r in ps.ttest_net(state).collect()}
+    for k, key in enumerate([("RH", "2a"), ("RH", "2b"), ("AH", "2a"), ("AH", "2b")], 3):
+        values = [r[k] for r in rows]
+        assert tests[key]["mean"] == pytest.approx(statistics.mean(values)) and tests[key]["n"] == 200
+        assert tests[key]["std"] == pytest.approx(statistics.stdev(values))
+    summary = {r["slot_no"]: r for r in ps.slot_summary(state).collect()}
+    assert summary[4]["n_events"] == 0 and summary[4]["mean_score"] is None
+    assert summary[2]["mean_rh_net"] == pytest.approx(statistics.mean(r[4] for r in rows if r[0] == 2))
+    assert summary[2]["mean_score"] == pytest.approx(statistics.mean(r[2] for r in rows if r[0] == 2))
+
+
 # -- linkage -----------------------------------------------------------------------------
 def _brute(a_rows, b_rows):
     """Every pair of every block, straight from the definition."""
