@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +119,19 @@ class Files:
         fs.deleteOnExit(where)
 
 
+_WORK: ContextVar[str | None] = ContextVar("hygroflow_work", default=None)
+
+
+@contextmanager
+def working_in(folder: str) -> Iterator[None]:
+    """What ``stored`` writes inside goes to ``folder``, so that it can be deleted as one."""
+    token = _WORK.set(folder)
+    try:
+        yield
+    finally:
+        _WORK.reset(token)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared folder and return a scan of it.
 
@@ -124,7 +139,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     survives the loss of executors, and the scan has a known size, so Spark
     decides about broadcasting it on facts.  The files go when the driver ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_WORK.get() or shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     Files(df.sparkSession).delete_on_exit(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
