@@ -6,56 +6,93 @@ then copies, then all but the smallest identifier of each group of near copies
 (words of five, similarity 0.8), then documents that contain a benchmark item.
 The last one packs what is left into sequences.
 
-The near-copy and benchmark stages number the rows of a stored copy and remove by
-number, so rows without identifier or with a shared one are judged by their own
-text; a row without identifier stays only where its group has none with one.
-Empty tables pass through every stage.
+Every filtering stage numbers the rows of a stored copy, gives its operator the
+number and the text, and removes rows by number with columns alone.  So whole
+documents never pass through Python, and rows without identifier or with a shared
+one are judged by their own text; a row without identifier stays only where its
+group has none with one.  Texts travel to Python in batches of ``BATCH_BYTES``
+(a setting of the session, which the stages make).
+
+What a stage stores lies in one folder.  The next stage deletes it as soon as it
+has stored its own copy; the last one's goes when the driver ends.  Empty tables
+pass through every stage.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hygroflow.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
 from hygroflow.llm.tables import read, stored, without
+from hygroflow.session import Files, shared_folder, working_in
+
+BATCH_BYTES = 8 << 20
+#: Folder of the latest stage, by application.
+_LATEST: dict[str, str] = {}
+
 
+def filtering(dropped: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that removes the rows whose numbers ``dropped`` returns for the numbered documents."""
 
-def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.clean_documents(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+        plain = [f"c{i}" for i in range(len(docs.columns))]  # no name of the documents can clash
+        with working_in(folder):
+            rows = stored(docs.toDF(*plain).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+            before = _LATEST.get(spark.sparkContext.applicationId)
+            if before:
+                Files(spark).delete(before)
+            _LATEST[spark.sparkContext.applicationId] = folder
+            given = rows.select(*[F.col(plain[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text")], "__row")
+            gone = stored(dropped(spark, given, sf_dir).select("__row").distinct(), "dropped")
+        return without(rows, "__row", gone).select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
 
+    return stage
 
-def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_documents(docs)
+
+def others(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (__row, group): all rows of a group but that of the smallest identifier; none goes last."""
+    groups = stored(groups, "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("group").agg(first)
+    return groups.select("__row").join(kept.select("first.__row"), "__row", "left_anti")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """A stored copy whose rows have a number of their own, ``__row``."""
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def toxic_rows(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    scorer = toxicity.Scorer(rows.select("doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scorer.scored(rows.select("__row", "text"), "__row").where("score >= 0.5")
 
 
-def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
+def copied_rows(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(rows.select(F.col("__row").alias("doc_id"), "text"))
+    return others(rows, groups.where("group_size > 1").select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("group")))
+
+
+def similar_rows(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similar_groups(rows.select(F.col("__row").alias("doc_id"), "text"))
-    groups = stored(groups.select(F.col("doc_id").alias("__row"), "component_id"), "near-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")
-    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first)
-    dropped = stored(groups.select("__row").join(kept.select("first.__row"), "__row", "left_anti"), "near-copies")
-    return without(rows, "__row", dropped).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return others(rows, groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group")))
 
 
-def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
+def leaking_rows(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark", "text").withColumn("item_id", F.monotonically_increasing_id())
     found = decontamination.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), items)
-    dropped = stored(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
-    return without(rows, "__row", dropped).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(F.col("doc_id").alias("__row"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.tokenizer_file())
 
 
+toxicity_filter = filtering(toxic_rows)
+exact_dedup_filter = filtering(copied_rows)
+near_duplicate_filter = filtering(similar_rows)
+decontamination_filter = filtering(leaking_rows)
+
 STAGES = [
     ("toxicity", toxicity_filter),
     ("exact_dedup", exact_dedup_filter),
