@@ -41,7 +41,7 @@ from hygroflow.llm.components import components
 from hygroflow.llm.tables import stored
 
 #: A list is long beyond so many sets ...
-LONG = 100
+LONG = 8
 #: ... or beyond this share of all list entries, which bounds what is broadcast to 8 MB.
 MOST_LONG = 1 << 20
 #: Bits of the smallest parity sketch; a set has a power of two of them, one per element at least.
@@ -120,9 +120,9 @@ def _described(rule: Rule):
             digests.append(_digest(s) if len(s) else None)
             prefixes.append(s[: rule.prefix(len(s))] if len(s) else s)
             sketches.append(_sketch(s) if len(s) else np.empty(0, np.int64))
+        made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes), _lists(sketches)]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes), _lists(sketches)],
-            ["doc_id", "n", "set_id", "prefix", "sketch"],
+            [batch["doc_id"], batch["text_key"], *made], ["doc_id", "text_key", "n", "set_id", "prefix", "sketch"]
         )
 
     return one
@@ -249,13 +249,15 @@ def _apart(rule: Rule):
     """How each set differs from the set of its root, which comes first of its group."""
 
     def run(batches):
-        group, leader = None, None
+        group, leader, last = None, None, None
         for batch in batches:
             found = []
             columns = [batch[c].to_pylist() for c in ("root", "salt", "cid", "set_id")]
             for root, salt, cid, set_id, values in zip(*columns, _sets(batch["text"], rule.words), strict=True):
-                if _digest(values) != set_id:  # another text under the same identifier
+                # another text of the same name, or a repeated row
+                if _digest(values) != set_id or (root, salt, cid) == last:
                     continue
+                last = root, salt, cid
                 if group != (root, salt):
                     group, leader = (root, salt), values
                 if cid != root or salt == 0:
@@ -301,16 +303,25 @@ def _near(rule: Rule, a: str, b: str, na: str, nb: str) -> F.Column:
     return (rule.num + rule.den) * far <= (rule.den - rule.num) * (F.col(na) + F.col(nb))
 
 
+def _name(doc_id: str, text_key: str) -> F.Column:
+    """Identifier and text together: rows that share an identifier, or have none, stay apart."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text_key).cast("string")).alias("name")
+
+
 class _Join:
     def __init__(self, docs: DataFrame, rule: Rule):
         self.rule, self.spark = rule, docs.sparkSession
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        schema = "doc_id long, n long, set_id binary, prefix array<long>, sketch array<long>"
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+        schema = "doc_id long, text_key long, n long, set_id binary, prefix array<long>, sketch array<long>"
         self.described = stored(tables.whole(self.docs, _described(rule), schema), "sets")
         self.classes = stored(
             self.described.where("n > 0")
             .groupBy("set_id")
-            .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+            .agg(
+                F.min("doc_id").alias("rep"),
+                F.min(F.struct("doc_id", "text_key")).alias("member"),
+                *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")],
+            )
             .withColumn("cid", F.monotonically_increasing_id()),
             "classes",
         )
@@ -363,18 +374,16 @@ class _Join:
         goes to every part of a large group.
         """
         ids = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        needed = self.classes.select("cid", "set_id", "rep").join(ids, "cid")
+        needed = self.classes.select("cid", "set_id", _name("member.doc_id", "member.text_key")).join(ids, "cid")
         needed = needed.join(components(close).toDF("cid", "root"), "cid", "left")
         needed = stored(needed.withColumn("root", F.coalesce("root", "cid")), "needed")
         parts = needed.groupBy("root").agg((F.floor(F.count(F.lit(1)) / ROOT_MEMBERS) + 1).alias("parts"))
         salts = F.when(F.col("cid") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(
             F.array(F.pmod(F.xxhash64("cid"), F.col("parts")))
         )
-        # null stands for an identifier of its own here
-        name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("name")
-        dealt = needed.join(parts, "root").select("cid", "set_id", "root", name("rep"), F.explode(salts).alias("salt"))
-        names = needed.select(name("rep"))
-        texts = tables.possible(self.docs.select(name("doc_id"), "text"), "name", tables.bloom_words(names, "name"))
+        dealt = needed.join(parts, "root").select("cid", "set_id", "root", "name", F.explode(salts).alias("salt"))
+        texts = self.docs.select(_name("doc_id", "text_key"), "text")
+        texts = tables.possible(texts, "name", tables.bloom_words(needed.select("name"), "name"))
         grouped = texts.join(dealt, "name").repartition("root", "salt")
         order = ["root", "salt", F.col("cid") != F.col("root"), "cid"]
         sorted_rows = grouped.sortWithinPartitions(*order).select("root", "salt", "cid", "set_id", "text")

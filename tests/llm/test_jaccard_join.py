@@ -71,6 +71,18 @@ def test_edge_cases(edge_documents):
     assert found(jaccard_join.similar_groups(edge_documents)) == brute(rows, 5, 80, 100)
 
 
+def test_rows_without_or_with_shared_identifiers_cost_no_more(table, monkeypatch):
+    """Each class meets its own text alone, whatever its identifier."""
+    rows = [(None if i % 2 else 7, t) for i, t in near_copies(4, 300)]
+    rows += rows[:20]
+    made = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label, f=jaccard_join.stored: made.append((label, f(df, label))) or made[-1][1])
+    assert found(jaccard_join.similar_groups(table(rows).repartition(3), 3, 90, 100)) == brute(rows, 3, 90, 100)
+    for label, df in made:
+        if label == "differences":
+            assert df.count() == df.select("cid").distinct().count() <= 300
+
+
 def test_empty(no_documents):
     assert jaccard_join.similar_groups(no_documents).count() == 0
 

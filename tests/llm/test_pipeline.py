@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontamination import brute as leaks
@@ -81,6 +82,19 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_columns_and_odd_rows_pass_through(spark, folder, edge_documents):
+    where, _ = folder
+    docs, columns = edge_documents.withColumn("__row", F.lit("own")), [*edge_documents.columns, "__row"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert all(r["__row"] == "own" and r["row"] == 0 for r in rows)
+    # one of null and blank, "one", one of "one two" and its form in other case, one of the long texts, and the single ones
+    assert sorted((r["text"] or "").split()[:1] for r in rows if r["doc_id"] in (4, 9, 10, 11)) == [["one"], ["repeated"], ["repeated"], ["émigré"]]
+    assert len([r for r in rows if r["doc_id"] == 10]) == 1
+
+
 def test_rows_without_or_with_a_shared_identifier_are_judged_by_their_text(spark, folder):
     where, items = folder
     text = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
