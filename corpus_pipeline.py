@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from hygroflow.llm.tables import read, stored, without
 from hygroflow.session import Files, shared_folder, working_in
 
 BATCH_BYTES = 8 << 20
-#: Folder of the latest stage, by application.
-_LATEST: dict[str, str] = {}
+#: Folder of the latest stage, by application and thread, so that pipelines side by side keep their own.
+_LATEST: dict[tuple[str, int], str] = {}
 
 
 def filtering(dropped: Callable[[SparkSession, DataFrame, str], DataFrame]):
@@ -44,10 +45,10 @@ def filtering(dropped: Callable[[SparkSession, DataFrame, str], DataFrame]):
         plain = [f"c{i}" for i in range(len(docs.columns))]  # no name of the documents can clash
         with working_in(folder):
             rows = stored(docs.toDF(*plain).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-            before = _LATEST.get(spark.sparkContext.applicationId)
-            if before:
-                Files(spark).delete(before)
-            _LATEST[spark.sparkContext.applicationId] = folder
+            run_by = spark.sparkContext.applicationId, get_ident()
+            if run_by in _LATEST:
+                Files(spark).delete(_LATEST[run_by])
+            _LATEST[run_by] = folder
             given = rows.select(*[F.col(plain[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text")], "__row")
             gone = stored(dropped(spark, given, sf_dir).select("__row").distinct(), "dropped")
         return without(rows, "__row", gone).select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
