@@ -4,31 +4,38 @@ Bytes are embedded, convolved with filters of several widths, rectified and
 max-pooled over windows of fixed length; a softmax layer gives the languages of a
 window.  A text's score is the mean of its windows' logits, each weighed by its
 bytes, so the whole text counts and batches have one shape.  The network is
-trained in numpy on the driver, on windows from a bounded sample of labelled
-texts (``TRAINING_TEXTS`` per language, drawn by a hash of the identifier) and
-sent to the workers (some tens of kB).  Training is deterministic.
+trained in numpy on the driver and sent to the workers (some tens of kB).
+
+Every label that occurs is learned.  The sample holds at most ``TRAINING_TEXTS``
+texts of a language and, where languages are many, ``ALL_TEXTS`` shared evenly
+among them, one of each at least.  It takes the texts with the smallest hashes of
+identifier and text, so it depends neither on partitions nor on repeated rows,
+and training is deterministic.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0 (as
 is everything if no labelled text exists); empty tables give no rows; repeated
-rows get equal answers; a null label is not learned from; a null identifier
-counts as an empty name, which is not held out.
+rows get equal answers and are learned from once; a null label is not learned
+from; a null identifier counts as an empty name, which is not held out.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hygroflow.llm import tables
 from hygroflow.llm import words as wd
 
-#: Labelled texts per language to learn from (expected), and windows of each (at most).
+#: Labelled texts to learn from per language and in all, and windows of each (at most).
 TRAINING_TEXTS = 400
+ALL_TEXTS = 40_000
 TRAINING_WINDOWS = 4
-#: Languages that can be learned: the most frequent ones.
-MOST_LANGUAGES = 100
+#: Candidates of the sample for each text it takes, so that none is missing.
+SPARE = 4
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -145,17 +152,28 @@ def _samples(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "bytes": pa.array(rows, pa.binary())})
 
 
+def sampled(known: DataFrame) -> DataFrame:
+    """(lang, text) of the sample: of each language the texts with the smallest hashes, repeated rows once.
+
+    Texts beyond a generous hash limit go before anything is shuffled; the limit
+    follows from the number of different hashes, so copies do not crowd it.
+    """
+    ticket = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40))
+    known = known.select("lang", "text", ticket.alias("ticket"))
+    sizes = tables.stored(known.groupBy("lang").agg(F.approx_count_distinct("ticket").alias("different")), "languages")
+    most = min(TRAINING_TEXTS, max(1, ALL_TEXTS // max(1, sizes.count())))
+    share = F.when(F.col("different") > 4 * SPARE * most, SPARE * most / F.col("different")).otherwise(1.0)
+    limits = sizes.select(F.col("lang").alias("limit_lang"), share.alias("share"))
+    near = known.join(limits, F.col("lang") == F.col("limit_lang")).where(F.col("ticket") < F.col("share") * float(1 << 40))
+    once = near.dropDuplicates(["lang", "ticket"])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))
+    return once.withColumn("place", order).where(F.col("place") <= most).select("lang", "text")
+
+
 def trained(docs: DataFrame) -> Network | None:
     """Network of the labelled rows that are not held out; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not most:
-        return None
-    rates = [(r["lang"], min(1.0, TRAINING_TEXTS / r["count"])) for r in most]
-    rates = docs.sparkSession.createDataFrame(rates, "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
-    sample = tables.whole(picked, _samples, "lang string, bytes binary").toPandas()  # bounded by the parameters above
+    sample = tables.whole(sampled(known), _samples, "lang string, bytes binary").toPandas()  # bounded, see above
     if not len(sample):
         return None
     sample = sample.sort_values(["lang", "bytes"])
@@ -203,18 +221,17 @@ class Tables:
         return np.concatenate(pooled, 1) @ self.weights["out"] + self.weights["out_bias"]
 
 
-_LOADED: dict[int, Tables] = {}
+_LOADED: dict[str, Tables] = {}
 
 
-def _predicted(shared):
+def _predicted(shared, model: str):
     """Score the texts of a batch, AT_ONCE windows after the other; a text may span several passes."""
 
     def one(batch: pa.RecordBatch):
-        key = id(shared)
-        if key not in _LOADED:
+        if model not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = Tables(shared.value)
-        net, languages = _LOADED[key], shared.value.languages
+            _LOADED[model] = Tables(shared.value)
+        net, languages = _LOADED[model], shared.value.languages
         data, offsets = wd.buffers(batch["text"])
         sums = np.zeros((batch.num_rows, len(languages)))
         lengths = np.diff(offsets)
@@ -254,7 +271,7 @@ def predicted(docs: DataFrame) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(network)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
-    return tables.whole(rows, _predicted(shared), schema)
+    return tables.whole(rows, _predicted(shared, uuid.uuid4().hex), schema)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,6 +48,23 @@ def test_languages_held_out(labelled):
     assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (5000, 5001, 5002)} == {("und", 0.0)}
 
 
+def test_sample_is_exact_per_language(spark, monkeypatch):
+    """Null and repeated identifiers, copies, and more languages than fit the common bound."""
+    rows = [(None, f"text {i}", "aa") for i in range(300)] + [(7, f"words {i}", "bb") for i in range(300)]
+    rows += [(i, "one copy", "cc") for i in range(5)] + [(9, "same row", "dd")] * 500 + [(9, f"other {i}", "dd") for i in range(60)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    monkeypatch.setattr(language_id, "TRAINING_TEXTS", 8)
+    got = [tuple(r) for r in language_id.sampled(known).collect()]
+    count = lambda lang: sum(g[0] == lang for g in got)
+    assert [count(x) for x in ("aa", "bb", "cc", "dd")] == [8, 8, 5, 8]
+    assert got.count(("dd", "same row")) <= 1
+    assert sorted(got) == sorted(tuple(r) for r in language_id.sampled(known.repartition(3)).collect())
+    many = spark.createDataFrame([(i, f"t {i}", f"l{i % 150}") for i in range(900)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "ALL_TEXTS", 300)
+    got = language_id.sampled(many).groupBy("lang").count().collect()
+    assert len(got) == 150 and {r["count"] for r in got} == {2}
+
+
 def test_table_rows_equal_the_network():
     net = language_id.Network(["a", "b"])
     rows, sizes = language_id.windows(np.frombuffer(("some text " * 60).encode(), np.uint8))
