@@ -11,9 +11,13 @@ Documents without links then even out the sizes: they are counted by size class
 (a few thousand classes whatever the input), the driver fills the shards by
 class from large to small, and ranks inside a class say who goes where.
 
+Draws go by row and round, so those who stayed in one round are free to go in
+the next.  Rows are numbered when their sizes are stored; the numbers follow the
+files read, so equal input files give equal shards.
+
 Law: ``bytes``.  Defined cases: null text has no bytes (size 16) and links with
-empty text; repeated rows are linked copies and each gets a slot; null
-identifiers are dealt like any other; an empty table gives no rows.
+empty text; repeated rows are linked copies and each gets a slot of its own;
+null identifiers are dealt like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,18 +41,18 @@ CLASSES = 32
 NUMBERED = 4000
 
 
-def _draw(*columns: str) -> Column:
-    """A fixed number in [0, 1) for each row."""
-    return F.pmod(F.xxhash64(F.lit("draw"), *columns), F.lit(1 << 30)) / float(1 << 30)
+def _draw(round_no: int) -> Column:
+    """A number in [0, 1) for each row, another one in every round."""
+    return F.pmod(F.xxhash64(F.lit("draw"), F.lit(round_no), "row"), F.lit(1 << 30)) / float(1 << 30)
 
 
 def numbered(df: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in buckets that one task can hold."""
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 + rows // NUMBERED)))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64("row"), F.lit(1 + rows // NUMBERED)))
     counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("doc_id", "text_key", "size")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("row")
     ranked = df.withColumn("__rank", F.row_number().over(inside) - 1)
     return ranked.join(offsets, [*keys, "__bucket"]).withColumn(
         name, F.col("__before") + F.col("__rank")
@@ -76,7 +80,7 @@ def flows(wanted: dict[tuple[int, int], float], loads: list[float], quota: float
 
 def propagated(linked: DataFrame, shards: int, quota: float, rounds: int = ROUNDS) -> DataFrame:
     """Move linked documents (group, label, size, …) towards the shard that holds most of their group."""
-    for _ in range(rounds):
+    for round_no in range(rounds):
         held = linked.groupBy("group", "part", "label").agg(F.sum("size").alias("held"))
         best = held.groupBy("group", "part").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("target"))
         moves = linked.join(best, ["group", "part"])
@@ -91,7 +95,7 @@ def propagated(linked: DataFrame, shards: int, quota: float, rounds: int = ROUND
         share = flows(wanted, loads, quota)
         spark = linked.sparkSession
         rows = spark.createDataFrame([(a, b, s) for (a, b), s in share.items()], "label int, target int, share double")
-        goes = _draw("doc_id", "label") < F.col("share")
+        goes = _draw(round_no) < F.col("share")
         linked = stored(
             moves.join(F.broadcast(rows), ["label", "target"], "left")
             .withColumn("label", F.when(goes, F.col("target")).otherwise(F.col("label")))
@@ -138,6 +142,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.sha2(text, 256).alias("text_key"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
@@ -151,12 +156,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     linked = (
         base.join(groups, "text_key")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        .withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
         .withColumn("group", F.col("text_key"))
-        .withColumn("label", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
+        .withColumn("label", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
         .drop("parts")
     )
-    columns = ["doc_id", "size", "text_crc32", "text_key", F.col("label").alias("shard")]
+    columns = ["doc_id", "size", "text_crc32", "row", F.col("label").alias("shard")]
     settled = propagated(stored(linked, "labels"), shards, quota).select(*columns)
     loads = [0.0] * shards
     for r in settled.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():  # one row per shard
@@ -175,7 +180,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     evened = ranked.join(
         F.broadcast(plan),  # classes times shards
         (ranked["class"] == plan["class"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")),
-    ).select("doc_id", "size", "text_crc32", "text_key", "shard")
+    ).select("doc_id", "size", "text_crc32", "row", "shard")
     return numbered(settled.unionByName(evened), ["shard"], rows, "slot").select(
         "doc_id",
         "size",
