@@ -5,8 +5,9 @@ all names, so the pairs are not enumerated.  With the default weights a pair
 below 990 characters reaches the threshold only if one name contains the other
 or the acronym test holds (see ``long_limit``), which leaves three exact sources:
 
-* containment is an equality: every stretch of the longer name that starts with
-  the block key is a join key for the shorter name,
+* containment is an equality: a stretch of the longer name that starts with the
+  block key and has the length of some name in the other list's block is a join
+  key for the shorter name,
 * "acronym equals name" is an equality as well,
 * names with the same acronym are compared inside tiles of bounded size with an
   upper bound before every costly comparison; nothing but results leaves a tile.
@@ -85,19 +86,28 @@ def block_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # -- equality sources ---------------------------------------------------------------
-def _stretch_keys(norm: Column, block: Column) -> Column:
-    """Hashes of all stretches of ``norm`` that start with its own block key and are no shorter."""
-    size = F.length(block)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.length(norm) - size + 1), lambda p: F.substr(norm, p, size) == block
+def name_lengths(rows: DataFrame) -> DataFrame:
+    """The lengths that occur among the names of each block; their number is bounded by the longest name."""
+    return rows.groupBy("block").agg(F.collect_set(F.length("norm")).alias("lengths"))
+
+
+def _stretches(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(id, key): hashes of the stretches of each name that a name of the other list can equal.
+
+    Such a stretch starts with the block key and has a length that occurs in the
+    other list's block.  Places and lengths are laid out one after the other, so
+    no row carries all stretches of a name.
+    """
+    size = F.length("block")
+    places = F.filter(
+        F.sequence(F.lit(1), F.length("norm") - size + 1), lambda p: F.substr("norm", p, size) == F.col("block")
     )
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda p: F.transform(
-                F.sequence(size, F.length(norm) - p + 1), lambda n: F.xxhash64(F.substr(norm, p, n))
-            ),
-        )
+    starts = longer.join(name_lengths(shorter), "block").select(
+        F.xxhash64("norm").alias("id"), "norm", "lengths", F.explode(places).alias("place")
+    )
+    fitting = F.filter("lengths", lambda n: n <= F.length("norm") - F.col("place") + 1)
+    return starts.select("id", "norm", "place", F.explode(fitting).alias("length")).select(
+        "id", F.xxhash64(F.substr("norm", F.col("place"), F.col("length"))).alias("key")
     )
 
 
@@ -108,12 +118,11 @@ def _held_in(longer: DataFrame, shorter: DataFrame, longer_as: str, shorter_as:
     hits and settle them, so a hash collision cannot add a pair.
     """
     number = F.xxhash64("norm")
-    stretches = longer.select(
-        number.alias("id"), F.explode(_stretch_keys(F.col("norm"), F.col("block"))).alias("key")
+    hits = (
+        _stretches(longer, shorter)
+        .join(shorter.select(F.col("norm").alias(shorter_as), "block", number.alias("key")), "key")
+        .select("id", shorter_as, "block")
     )
-    hits = stretches.join(
-        shorter.select(F.col("norm").alias(shorter_as), "block", number.alias("key")), "key"
-    ).select("id", shorter_as, "block")
     return hits.join(
         longer.select(F.col("norm").alias(longer_as), "block", number.alias("id")), ["id", "block"]
     ).where(F.contains(F.col(longer_as), F.col(shorter_as)))

@@ -373,6 +373,17 @@ def test_long_names_without_containment_are_found(spark):
     assert got == best
 
 
+def test_only_lengths_of_the_other_list_are_laid_out(spark):
+    long = "aaaa" * 100  # every place starts with the block key
+    a = lk.forms(lk.prepared(spark.createDataFrame([(long,), ("aaaab",), ("zzzz",)], "c string")))
+    b = lk.forms(lk.prepared(spark.createDataFrame([("aaaa",), ("aaaaaaa",), ("aaaaaab",), ("yyyy",)], "c string")))
+    assert {r["block"]: sorted(r["lengths"]) for r in lk.name_lengths(b).collect()} == {"aaaa": [4, 7], "yyyy": [4]}
+    assert lk._stretches(a, b).count() == 397 + 394 + 1
+    got = {(r["norm_a"], r["norm_b"]) for r in lk.equality_pairs(a, b).select("norm_a", "norm_b").collect()}
+    assert got >= {(long, "aaaa"), (long, "aaaaaaa"), ("aaaab", "aaaa")}
+    assert all(x in y or y in x for x, y in got)
+
+
 def test_block_sizes(spark):
     a = lk.prepared(spark.createDataFrame([("red one",), ("red two",), ("blue",)], "c string"))
     b = lk.prepared(spark.createDataFrame([("red x",), ("green",)], "c string"))
