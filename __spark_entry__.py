@@ -30,7 +30,7 @@ from hygroflow.plans import pump_study as ps
 from hygroflow.plans import slopes as sl
 from hygroflow.settings import AH_EDGES, RH_EDGES, Clock, CustomsRule
 from hygroflow.session import Scope
-from hygroflow.sources import files, snapshot
+from hygroflow.sources import daily, files, snapshot
 from hygroflow.sources.tables import Tables
 from hygroflow.sources.testbed import FLOOR, Testbed
 from hygroflow.streaming import incremental as inc
@@ -50,6 +50,7 @@ TEST_CUSTOMS = CustomsRule(
 )
 MEASURE_DAY = "2024-01-02"
 MEASURE_END = "2024-01-05"
+LONG_RUN = 480
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -213,6 +214,41 @@ def slope_table(b):
     return tables.scan("slopes", "id_evento", "franja", "delta_detach", "class_v0")
 
 
+def _readings_by_day(b):
+    """The sensor log after its batch came twice."""
+    tables = Tables(b.spark)
+    for _ in range(2):
+        daily.load(tables, "readings", b.sensor_data(), "measure_date", batch=0)
+    return tables.scan("readings").withColumn("val", parsing.to_number(F.col("data_value")))
+
+
+def _day_figures(rows, *keys):
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("val").alias("n_values"), F.avg("val").alias("mean_value")
+    )
+
+
+def readings_window(b):
+    """Sensors by day in a window that starts and ends inside a day."""
+    rows = daily.between(_readings_by_day(b), f"{MEASURE_DAY} 06:00:00", f"{MEASURE_END} 12:00:00")
+    return _day_figures(rows, "sensor_id", "day")
+
+
+def readings_on_event_days(b):
+    """All readings of the days with a long run in the last state."""
+    long_runs = daily.timed(b.actuator_measure(), "start_time").where(
+        (F.col("state") == "3") & (parsing.to_int(F.col("execution_time")) >= LONG_RUN)
+    )
+    return _day_figures(daily.on_days_of(_readings_by_day(b), long_runs), "day")
+
+
+def rejected_times(b):
+    """Rows of the actuator log whose time cannot be read, by their text."""
+    tables = Tables(b.spark)
+    daily.load(tables, "actuator", b.actuator_measure(), "start_time", batch=0)
+    return tables.scan(daily.rejects_of("actuator")).groupBy("start_time", "actuator_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def chart_daily(b):
     return positioned(db.chart_daily(b.daily()), [F.col("day").asc()])
 
@@ -411,6 +447,9 @@ _QUERIES: dict[str, Callable[[_Bench], DataFrame]] = {
     "weather_explode": weather_explode,
     "weather_new_rows": weather_new_rows,
     "weather_load": weather_load,
+    "readings_window": readings_window,
+    "readings_on_event_days": readings_on_event_days,
+    "rejected_times": rejected_times,
     "weather_rejects": lambda b: inc.payload_rejects(b.faulty_payload()),
     "weather_reject_counts": lambda b: inc.reject_counts(inc.payload_rejects(b.faulty_payload())),
     "sync_executions": sync_executions,

@@ -540,6 +540,19 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         SELECT start, reason, count(*) AS n_rejected, min(position) AS first_position,
                count(coalesce(temperature_2m, relative_humidity_2m, rain, surface_pressure, wind_speed_10m)) AS n_with_value
         FROM rejected GROUP BY ALL"""),
+    "readings_window": (("sensor_data",), f"""
+        SELECT sensor_id, CAST(ts AS DATE) AS day, count(*) AS n_rows, count(val) AS n_values, {_r('avg(val)', 'mean_value')}
+        FROM (SELECT sensor_id, TRY_CAST(measure_date AS TIMESTAMP) AS ts, TRY_CAST(data_value AS DOUBLE) AS val FROM sensor_data)
+        WHERE ts >= TIMESTAMP '2024-01-02 06:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1, 2"""),
+    "readings_on_event_days": (("sensor_data", "actuator_measure"), f"""
+        SELECT day, count(*) AS n_rows, count(val) AS n_values, {_r('avg(val)', 'mean_value')}
+        FROM (SELECT CAST(TRY_CAST(measure_date AS TIMESTAMP) AS DATE) AS day, TRY_CAST(data_value AS DOUBLE) AS val FROM sensor_data)
+        WHERE day IN (SELECT CAST(TRY_CAST(start_time AS TIMESTAMP) AS DATE) FROM actuator_measure
+                      WHERE state = '3' AND CAST(execution_time AS INTEGER) >= 480 AND start_time <> 'bad text')
+        GROUP BY 1"""),
+    "rejected_times": (("actuator_measure",), """
+        SELECT start_time, actuator_id, count(*) AS n_rows FROM actuator_measure
+        WHERE TRY_CAST(start_time AS TIMESTAMP) IS NULL GROUP BY ALL"""),
     "executions_load": (("calendar", "runs", "all_executions"), """
         FROM all_executions
         UNION ALL
