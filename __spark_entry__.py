@@ -50,7 +50,7 @@ TEST_CUSTOMS = CustomsRule(
 )
 MEASURE_DAY = "2024-01-02"
 MEASURE_END = "2024-01-05"
-LONG_RUN = 480
+LONG_RUN = 200
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:

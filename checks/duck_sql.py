@@ -548,7 +548,7 @@ _FINAL: dict[str, tuple[tuple, str]] = {
         SELECT day, count(*) AS n_rows, count(val) AS n_values, {_r('avg(val)', 'mean_value')}
         FROM (SELECT CAST(TRY_CAST(measure_date AS TIMESTAMP) AS DATE) AS day, TRY_CAST(data_value AS DOUBLE) AS val FROM sensor_data)
         WHERE day IN (SELECT CAST(TRY_CAST(start_time AS TIMESTAMP) AS DATE) FROM actuator_measure
-                      WHERE state = '3' AND CAST(execution_time AS INTEGER) >= 480 AND start_time <> 'bad text')
+                      WHERE state = '3' AND CAST(execution_time AS INTEGER) >= 200 AND start_time <> 'bad text')
         GROUP BY 1"""),
     "rejected_times": (("actuator_measure",), """
         SELECT start_time, actuator_id, count(*) AS n_rows FROM actuator_measure
