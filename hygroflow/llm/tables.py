@@ -12,8 +12,11 @@ from hygroflow.session import stored
 
 __all__ = ["stored", "read", "whole", "tested_bit", "bloom_words", "BLOOM_BLOCKS"]
 
-#: One 64-bit word per block: the filter is at most this many rows of 16 bytes.
+#: One 64-bit word per block: a filter has this many rows of 16 bytes at most, unless sized to its keys.
 BLOOM_BLOCKS = 1 << 16
+#: Bounds of a filter sized to its keys, and keys per word: about 2 % false hits, more beyond 4 million keys.
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 20
+KEYS_PER_BLOCK = 4
 BLOOM_PROBES = 4
 
 
@@ -33,8 +36,13 @@ def whole(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOOM_BLOCKS)).cast("int")
+def blocks_for(keys: int) -> int:
+    """Words of a filter for so many keys."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-keys // KEYS_PER_BLOCK)))
+
+
+def _block(key: Column, blocks: int = BLOOM_BLOCKS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def tested_bit(key: Column) -> Column:
@@ -47,21 +55,21 @@ def tested_bit(key: Column) -> Column:
     return mask
 
 
-def bloom_words(keys: DataFrame, column: str) -> DataFrame:
-    """Blocked Bloom filter of a key column: (block, word), at most BLOOM_BLOCKS rows."""
+def bloom_words(keys: DataFrame, column: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+    """Blocked Bloom filter of a key column: (block, word), at most ``blocks`` rows."""
     return (
         keys.where(F.col(column).isNotNull())
-        .groupBy(_block(F.col(column)).alias("__block"))
+        .groupBy(_block(F.col(column), blocks).alias("__block"))
         .agg(F.bit_or(tested_bit(F.col(column))).alias("__word"))
     )
 
 
-def possible(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
+def possible(rows: DataFrame, column: str, words: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
     """Rows whose key may be in the filter; no row whose key is in it is lost.
 
-    The filter is broadcast: it holds at most BLOOM_BLOCKS rows whatever the input.
+    The filter is broadcast: it holds at most ``blocks`` rows, MOST_BLOCKS whatever the input.
     """
-    marked = rows.withColumn("__block", _block(F.col(column)))
+    marked = rows.withColumn("__block", _block(F.col(column), blocks))
     hit = marked.join(F.broadcast(words), "__block")
     mask = tested_bit(F.col(column))
     return hit.where(F.col("__word").bitwiseAND(mask) == mask).drop("__block", "__word")

@@ -1,9 +1,10 @@
 """URL verdicts: host and path rules, then a list of canonical URLs.
 
-A blocked Bloom filter of the listed canonical URLs (one 64-bit word per block,
-``tables.BLOOM_BLOCKS`` rows at most, therefore broadcast) passes possible hits;
-these go through an exact hash join with the list, which removes the false
-positives.  Everything is a column expression.
+A blocked Bloom filter of the listed canonical URLs passes possible hits; these
+go through an exact hash join with the list, which removes the false positives.
+The filter is sized to the list, one 64-bit word for four URLs and
+``tables.MOST_BLOCKS`` words at most, therefore broadcast.  Everything is a
+column expression.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no canonical form and the verdict ``allow``; repeated rows are judged alike;
@@ -27,6 +28,8 @@ RULES = (
 )
 #: Sites whose pages make up the list of the query: names of a host's labels.
 LISTED_SITES = ("spam-farm", "cheap-pills")
+#: Join keys among which urls without a canonical form are spread.
+SPREAD = 4096
 #: Query parameters that name a visit, not a page.
 TRACKING = r"^(utm_[a-z]*|ref|fbclid|gclid)(=|$)"
 
@@ -97,14 +100,18 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         "page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
         canonical(F.col("url")).alias("canonical"),
     )
-    listed = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
+    listed = tables.stored(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "listed")
+    blocks = tables.blocks_for(listed.count())
     names = rows.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    possible = tables.possible(names, "canonical", tables.bloom_words(listed, "canonical"))
+    possible = tables.possible(names, "canonical", tables.bloom_words(listed, "canonical", blocks), blocks)
     hits = possible.join(listed, "canonical").select("canonical", F.lit(True).alias("listed"))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: len(r[1] + r[2])):
         rule = F.when(_fits(r), r[1] + r[2]).otherwise(rule)
         verdict = F.when(_fits(r), r[0]).otherwise(verdict)
+    # urls without a canonical form match nothing; their keys are spread, a canonical form holds a "?"
+    nowhere = F.concat(F.lit("none "), F.monotonically_increasing_id() % SPREAD)
+    rows = rows.withColumn("canonical", F.coalesce("canonical", nowhere))
     return rows.join(hits, "canonical", "left").select(
         "page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict")
     )

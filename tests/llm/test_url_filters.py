@@ -55,3 +55,24 @@ def test_filter_loses_no_key_and_drops_most_others(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judged(pages, url_filters.listed_urls(pages)).count() == 0
+
+
+def test_filter_follows_the_list(spark):
+    assert tables.blocks_for(0) == tables.LEAST_BLOCKS and tables.blocks_for(10**10) == tables.MOST_BLOCKS
+    keys = spark.range(60_000).select(F.col("id").cast("string").alias("k"))
+    blocks = tables.blocks_for(30_000)
+    assert blocks == 7500
+    words = tables.bloom_words(keys.where("k % 2 = 0"), "k", blocks)
+    kept = tables.possible(keys, "k", words, blocks)
+    assert kept.where("k % 2 = 0").count() == 30_000 and kept.count() < 32_000
+
+
+def test_urls_without_a_form_and_clashing_columns(spark):
+    names = ("canonical", "listed", "host", "path", "rule", "verdict", "__block", "__word", "__key")
+    urls = [None] * 300 + ["no scheme"] * 300 + ["http://x.org/listed"] * 5 + ["", "none 7"]
+    rows = [(i if i % 3 else None, u, *range(len(names))) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string" + "".join(f", {c} int" for c in names)).repartition(4)
+    listed = spark.createDataFrame([("x.org/listed?", 1), ("none 7", 2), (None, 3)], "canonical string, url int")
+    got = url_filters.judged(pages, listed).collect()
+    assert len(got) == len(urls) and sum(r["verdict"] == "block" for r in got) == 5
+    assert {(r["host"], r["path"], r["rule"]) for r in got if r["verdict"] == "allow"} == {("", "", None)}
