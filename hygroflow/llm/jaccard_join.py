@@ -6,15 +6,27 @@ many sets last); two sets that reach the threshold share an element of their
 prefixes, so only prefix elements are listed.  A list is ordered by size block
 and position: a probe leaves a block at the first position from which no element
 can reach the needed overlap, and leaves the list at the first block that is too
-large.  Long lists are those of groups of similar sets.  There, neighbours are
-compared first; sets that these links connect need no comparison among each
-other (their answers follow), and the rest of the list is compared only across
-components.  Candidates pass an exact bound (the parities of the hashed elements
+large.  Candidates pass an exact bound (the parities of the hashed elements
 differ in at most as many places as the sets do).  Of those that are left, each
 set is compared once with the root of its group of candidates, and a pair's
 answer derives from the two differences: x and y differ in exactly the elements
 in which their differences from a third set differ.
 
+Long lists are those of groups of similar sets.  There, only neighbours are laid
+side by side.  The sets that these candidates connect form a group, whose centre
+has the elements of most members.  With e(x) the elements in which x differs from
+the centre, x and y link when
+
+    (num + den) |e(x) ^ e(y)| <= (den - num) (|x| + |y|).
+
+Let V(x) = (num + den) |e(x)| - (den - num) |x|.  Pairs of V(x) + V(y) <= 0 link
+whatever their differences are, and then both link with the member of least V,
+the hub, with which every member is compared.  All others share at least
+(V(x) + V(y)) / (2 (num + den)) elements of their differences: a second prefix
+filter, over differences ordered by how few members have them, finds these.
+Members that edit their texts independently share hardly any, so a group of n near
+copies costs about n pairs.  What remains of a long list meets across groups only.
+
 Elements are 64-bit hashes of word n-grams (A-Z lowered), classes 128-bit
 digests of their sorted sets; beyond that every step is exact.
 
@@ -32,7 +44,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hygroflow.llm import tables
@@ -261,15 +273,45 @@ def _apart(rule: Rule):
                 if group != (root, salt):
                     group, leader = (root, salt), values
                 if cid != root or salt == 0:
-                    found.append((cid, len(values), np.setxor1d(leader, values, assume_unique=True).tobytes()))
+                    found.append((root, cid, len(values), np.setxor1d(leader, values, assume_unique=True).tobytes()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))],
-                ["cid", "n", "differs"],
+                [pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["root", "cid", "n", "differs"]
             )
 
     return run
 
 
+def _elements(batch: pa.RecordBatch):
+    """One row per element of a difference."""
+    values = [np.frombuffer(v.as_buffer(), np.int64) for v in batch["differs"]]
+    at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+    yield pa.RecordBatch.from_arrays(
+        [batch["root"].take(at), batch["cid"].take(at), pa.array(np.concatenate(values))], ["root", "cid", "element"]
+    )
+
+
+def _from_centre(rule: Rule):
+    """Differences from the centre out of those from the root, whose difference from the centre is ``common``."""
+
+    def one(batch: pa.RecordBatch):
+        sizes, differs = [], []
+        for values, common in zip(batch["differs"], batch["common"].to_pylist(), strict=True):
+            values = np.frombuffer(values.as_buffer(), np.uint64)
+            if common:
+                values = np.setxor1d(values, np.array(common, np.int64).view(np.uint64), assume_unique=True)
+            sizes.append(len(values))
+            differs.append(values.tobytes())
+        n = batch["n"].to_numpy()
+        v = (rule.num + rule.den) * np.array(sizes, np.int64) - (rule.den - rule.num) * n
+        yield pa.RecordBatch.from_arrays(
+            [batch["root"], batch["cid"], batch["n"], pa.array(sizes, pa.int64()), pa.array(v), pa.array(differs, pa.binary())],
+            ["root", "cid", "n", "size", "v", "differs"],
+        )
+
+    return one
+
+
 def _linked(rule: Rule):
     """Which pairs reach the similarity: what differs between two sets is what differs between their differences."""
 
@@ -352,21 +394,27 @@ class _Join:
         block = F.floor(F.log(F.col("n").cast("double")) / np.log(self.rule.den / self.rule.num)).cast("long")
         return every.withColumn("block", block), rare.withColumn("block", block) if rare is not None else None
 
-    def checked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes that reach the similarity."""
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes that the sketches do not rule out."""
         about = self.classes.select("cid", "n", "sketch")
         pairs = pairs.distinct()
         for side in ("a", "b"):
             pairs = pairs.join(about.toDF(side, f"n_{side}", f"sketch_{side}"), side)
-        close = pairs.where(_near(self.rule, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
-        close = stored(close, "close-pairs")
-        differs = self._differences(close)
-        both = close
+        near = pairs.where(_near(self.rule, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
+        return stored(near, "close-pairs")
+
+    def derived(self, pairs: DataFrame, differs: DataFrame) -> DataFrame:
+        """Those pairs that reach the similarity, out of the differences from a third set."""
+        differs = differs.select("cid", "n", "differs")
         for side in ("a", "b"):
-            both = both.join(differs.toDF(side, f"n_{side}", f"differs_{side}"), side)
-        return tables.whole(both, _linked(self.rule), "a long, b long")
+            pairs = pairs.join(differs.toDF(side, f"n_{side}", f"differs_{side}"), side)
+        return tables.whole(pairs, _linked(self.rule), "a long, b long")
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        close = self.close(pairs)
+        return stored(self.derived(close, self._differences(close, components(close).toDF("cid", "root"))), "links")
 
-    def _differences(self, close: DataFrame) -> DataFrame:
+    def _differences(self, close: DataFrame, roots: DataFrame) -> DataFrame:
         """Classes of close pairs and how their sets differ from the set of their group's root.
 
         The roots come from the close pairs alone, so most differences are small
@@ -375,7 +423,7 @@ class _Join:
         """
         ids = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         needed = self.classes.select("cid", "set_id", _name("member.doc_id", "member.text_key")).join(ids, "cid")
-        needed = needed.join(components(close).toDF("cid", "root"), "cid", "left")
+        needed = needed.join(roots, "cid", "left")
         needed = stored(needed.withColumn("root", F.coalesce("root", "cid")), "needed")
         parts = needed.groupBy("root").agg((F.floor(F.count(F.lit(1)) / ROOT_MEMBERS) + 1).alias("parts"))
         salts = F.when(F.col("cid") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(
@@ -387,7 +435,7 @@ class _Join:
         grouped = texts.join(dealt, "name").repartition("root", "salt")
         order = ["root", "salt", F.col("cid") != F.col("root"), "cid"]
         sorted_rows = grouped.sortWithinPartitions(*order).select("root", "salt", "cid", "set_id", "text")
-        return stored(sorted_rows.mapInArrow(_apart(self.rule), "cid long, n long, differs binary"), "differences")
+        return stored(sorted_rows.mapInArrow(_apart(self.rule), "root long, cid long, n long, differs binary"), "differences")
 
     def links(self) -> DataFrame:
         """Edges that connect every pair of linked classes, directly or through others."""
@@ -395,40 +443,101 @@ class _Join:
         dealt = every.repartition("element").sortWithinPartitions(*_COLUMNS[:2], "position")
         pairs = dealt.select(*_COLUMNS).mapInArrow(_list_pairs(self.rule), "a long, b long")
         if rare is None:
-            return stored(self.checked(pairs), "links")
+            return self.checked(pairs)
         rare = stored(rare, "long-lists")
         way = F.pmod(F.xxhash64("element", "cid"), F.lit(SALT))
         near = rare.repartition("element", way).sortWithinPartitions("element", way, "n", "cid")
         near = near.select("element", "cid").mapInArrow(_neighbours, "a long, b long")
-        first = stored(self.checked(pairs.unionByName(near)), "links")
-        return first.unionByName(stored(self.checked(self._across(rare, components(first))), "links"))
+        close = self.close(pairs.unionByName(near))
+        groups = components(close).toDF("cid", "root")
+        differs = self._differences(close, groups)
+        found = stored(self.derived(close, differs), "links")
+        rows = rare.join(groups.toDF("cid", "grp"), "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+        rows = stored(rows, "long-lists")
+        inside, hubs = self._inside(differs.join(rows.select(F.col("grp").alias("root")).distinct(), "root", "left_semi"), found)
+        found = found.unionByName(inside)
+        found = found.unionByName(self.checked(self._to_hubs(rows, hubs)))
+        return found.unionByName(self.checked(self._across(rows, components(found))))
+
+    def _inside(self, differs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges that connect all linked pairs of one group, and the groups' hubs."""
+        rule, twice = self.rule, 2 * (self.rule.num + self.rule.den)
+        one = "root long, cid long, element long"
+        counts = tables.whole(differs, _elements, one).groupBy("root", "element").agg(F.count(F.lit(1)).alias("has"))
+        most = counts.join(differs.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
+        # at most twice the mean size of a group's differences
+        common = most.where(2 * F.col("has") > F.col("members")).groupBy("root").agg(F.collect_list("element").alias("common"))
+        schema = "root long, cid long, n long, size long, v long, differs binary"
+        central = stored(tables.whole(differs.join(common, "root", "left"), _from_centre(rule), schema), "central")
+        hubs = central.groupBy("root").agg(F.min_by(F.struct("cid", "n", "v", "differs"), F.struct("v", "cid")).alias("hub"))
+        hubs = stored(hubs, "hubs")
+        star = central.join(hubs, "root").where(F.col("cid") != F.col("hub.cid")).select(
+            F.col("cid").alias("a"), F.col("hub.cid").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"),
+            F.col("differs").alias("differs_a"), F.col("hub.differs").alias("differs_b"),
+        )
+        star = stored(tables.whole(star, _linked(rule), "a long, b long"), "links")
+
+        known = components(found.unionByName(star)).toDF("cid", "comp")
+        members = central.join(hubs.select("root", F.col("hub.cid").alias("hub"), F.col("hub.v").alias("least")), "root")
+        members = members.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        members = members.join(known.toDF("hub", "main"), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
+        # the least V of a partner in another component: the hub's, or more than links with the hub
+        partner = F.when(F.col("v") + F.col("least") <= 0, 1 - F.col("least")).otherwise(F.col("least"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("v") + partner) / twice))
+        members = members.select("root", "cid", "n", "size", "v", "comp", "main", (F.col("size") - need + 1).alias("prefix"))
+        elements = tables.whole(central, _elements, one)
+        has = elements.groupBy("root", "element").agg(F.count(F.lit(1)).alias("has"))
+        order = Window.partitionBy("cid").orderBy("has", "element")
+        elements = elements.join(has, ["root", "element"]).withColumn("position", F.row_number().over(order) - 1)
+        lists = elements.where("has > 1").join(members, ["root", "cid"]).where("position < prefix")
+        lists = stored(lists.select("root", "element", "cid", "n", "size", "v", "comp", "main", "position"), "difference-lists")
+        outside = lists.where("comp <> main").select(
+            "root", "element", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "size", "v", "comp", "position")]
+        )
+        left = F.least(F.col("size") - F.col("position"), F.col("size_x") - F.col("position_x"))
+        met = outside.join(lists, ["root", "element"]).where(
+            (F.col("comp") != F.col("comp_x"))
+            & rule.sizes_fit(F.col("n"), F.col("n_x"))
+            & (twice * left >= F.col("v") + F.col("v_x"))
+        )
+        met = met.select(F.least("cid", "cid_x").alias("a"), F.greatest("cid", "cid_x").alias("b")).distinct()
+        return star.unionByName(stored(self.derived(stored(met, "met"), central), "links")), hubs
 
-    def _across(self, rare: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs of a long list that no known link connects.
+    @staticmethod
+    def _outside(rows: DataFrame) -> DataFrame:
+        """Entries of long lists outside the list's largest group."""
+        sums = rows.groupBy("element", "grp").count()
+        main = sums.groupBy("element").agg(
+            F.max_by("grp", F.struct("count", "grp")).alias("main"), F.count(F.lit(1)).alias("groups")
+        )
+        return rows.join(main.where("groups > 1").select("element", "main"), "element").where("grp <> main")
+
+    def _to_hubs(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Each set outside a long list's largest group with that group's hub."""
+        hubs = hubs.select(F.col("root").alias("main"), F.col("hub.cid").alias("hub"))
+        met = self._outside(rows).select("cid", "main").distinct().join(hubs, "main", "left")
+        hub = F.coalesce("hub", "main")
+        return met.where(hub != F.col("cid")).select(F.least("cid", hub).alias("a"), F.greatest("cid", hub).alias("b"))
+
+    def _across(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs of a long list, of two groups that no known link connects.
 
-        Of each list and size block, the entries outside its largest component
+        Of each list and size block, the entries outside its largest group
         meet the entries of that block and of the next ones that can fit.
         """
         rule = self.rule
-        rows = rare.join(known.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        rows = rows.join(self.classes.select("cid", "sketch"), "cid")
-        sums = rows.groupBy("element", "root").count()
-        main = sums.groupBy("element").agg(
-            F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
-        )
-        main = main.where("roots > 1").select("element", "main")
-        rows = stored(rows, "long-lists")
-        mixed = rows.join(main, "element")
-        minor = mixed.where("root <> main").select(
+        rows = rows.join(known.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        rows = stored(rows.join(self.classes.select("cid", "sketch"), "cid"), "long-lists")
+        minor = self._outside(rows).select(
             "element", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"),
-            *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "position", "root", "sketch")],
+            *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "position", "root", "grp", "sketch")],
         )
         left = F.least(F.col("n") - F.col("position"), F.col("n_x") - F.col("position_x"))
         total = F.col("n") + F.col("n_x")
         met = minor.join(rows, ["element", "block"]).where(
             (F.col("root") != F.col("root_x"))
-            & (rule.den * F.col("n") >= rule.num * F.col("n_x"))
-            & (rule.den * F.col("n_x") >= rule.num * F.col("n"))
+            & (F.col("grp") != F.col("grp_x"))
+            & rule.sizes_fit(F.col("n"), F.col("n_x"))
             & ((rule.num + rule.den) * left >= rule.num * total)
             & _near(rule, "sketch", "sketch_x", "n", "n_x")
         )

@@ -103,3 +103,29 @@ def test_hashes_of_long_texts_equal_those_of_their_words(monkeypatch):
     cut = [h.tolist() for _, h, b in words.hashed(pa.array(texts)) for h in [h[s:e] for s, e in zip(b[:-1], b[1:], strict=True)]]
     assert whole == cut
     assert [len(x) for x in whole] == [5, 1, 0, 0, 6000]
+
+
+def test_a_group_of_near_copies_is_not_laid_out_in_pairs(table, monkeypatch):
+    """Independent edits of one text, some far from all others, and versions of an edited copy."""
+    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    rng = random.Random(11)
+    original = [f"w{i}" for i in range(150)]
+    version = original[:20] + [f"z{i}" for i in range(12)] + original[32:]
+    rows = []
+    for i in range(260):
+        text = list(version if i % 5 == 0 else original)
+        for _ in range(rng.randrange(0, 9)):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(5000)}"
+        rows.append((i, " ".join(text)))
+    made = {}
+
+    def counting(df, label, f=jaccard_join.stored):
+        df = f(df, label)
+        made[label] = made.get(label, 0) + (df.count() if label in ("close-pairs", "met") else 0)
+        return df
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    want = brute(rows, 3, 90, 100)
+    assert len({c for _, _, c in want}) > 20
+    assert found(jaccard_join.similar_groups(table(rows).repartition(3), 3, 90, 100)) == want
+    assert made["met"] + made["close-pairs"] < 260 * 260 / 8
