@@ -65,34 +65,45 @@ def _cumulative(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Start, end and text of every match, in code points, from the matches and what lies between them."""
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """Every match: its kind, text and length, and the length of what lies between it and the match before."""
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("before")
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    matched = lambda x: F.struct(
+        F.lit(kind).alias("kind"), F.length(x["before"]).alias("skip"), F.length(x["match"]).alias("length"), x["match"].alias("value")
+    )
+    return F.transform(F.filter(found, lambda x: x["match"].isNotNull()), matched)
 
-    def step(s, x):
-        start = s["at"] + F.length(x["before"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
 
-    matches = F.filter(found, lambda x: x["match"].isNotNull())
-    return F.aggregate(matches, state, step, lambda s: s["spans"])
-
-
-def _pattern_spans(text: Column) -> Column:
-    """Spans of the three patterns; cheap conditions keep most texts from the costly part."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+def _all_matches(text: Column) -> Column:
+    """Matches of the three patterns and candidates; cheap conditions keep most texts from the costly part."""
+    none = F.array().cast("array<struct<kind:int,skip:int,length:int,value:string>>")
     low = F.lower(text)
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")
-    long_enough = lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= ASSIGN_LEAST
-    assign = F.when(named, F.filter(_spans(text, ASSIGN, 0), long_enough)).otherwise(none)
-    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(none)
-    hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(none)
-    return F.concat(assign, access, hexes)
+    return F.concat(
+        F.when(named, _matches(text, ASSIGN, 0)).otherwise(none),
+        F.when(text.contains("AKIA"), _matches(text, ACCESS, 1)).otherwise(none),
+        F.when(text.rlike(HEX), _matches(text, HEX, 2)).otherwise(none),
+        F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, 3)).otherwise(none),
+    )
+
+
+def _located(found: DataFrame) -> DataFrame:
+    """Spans (row, span, value) with their places in code points, and whether a candidate is clear of pattern spans.
+
+    Places are running sums over the matches of one text and kind; a candidate is
+    clear when no pattern span before it reaches into it and none starts inside.
+    """
+    each = found.select("row", F.posexplode("matches").alias("nth", "match")).select("row", "nth", "match.*")
+    end = F.sum(F.col("skip") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("nth"))
+    each = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("length"))
+    each = each.where((F.col("kind") != 0) | (F.length(F.regexp_extract("value", ASSIGN, 2)) >= ASSIGN_LEAST))
+    fixed = F.col("kind") != KINDS.index("random")
+    reached = F.max(F.when(fixed, F.col("end"))).over(Window.partitionBy("row").orderBy("start"))
+    following = F.min(F.when(fixed, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start")))
+    clear = F.coalesce(reached <= F.col("start"), F.lit(True)) & F.coalesce(following >= F.col("end"), F.lit(True))
+    return each.select("row", F.struct("start", "kind", "end").alias("span"), "value", (~fixed & clear).alias("clear"))
 
 
 def _tested(tokens: DataFrame) -> DataFrame:
@@ -181,32 +192,23 @@ def _named(spans: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text): counts and spans of secrets per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    found = docs.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        _pattern_spans(text).alias("base"),
-        F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3)).otherwise(none).alias("others"),
-    )
-    found = stored(found, "spans")  # spans only, no texts
-    free = F.filter(
-        "others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
-    )
-    tokens = found.select("row", F.explode(free).alias("span")).select("row", "span", F.col("span.value").alias("value"))
-    tests = stored(_tested(tokens).select("row", "span", "n", "encoding", "random", "p"), "tests")
-    added = _discovered(tests).groupBy("row").agg(F.collect_list("span").alias("added"))  # spans of one text
-    short = lambda c: F.transform(c, lambda s: s.dropFields("value"))
-    rows = found.join(added, "row", "left").select(
-        "doc_id", short(F.col("base")).alias("base"), short(F.coalesce("added", none)).alias("added")
-    )
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    found = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _all_matches(text).alias("matches"))
+    found = stored(found, "matches")  # matches only, no texts
+    spans = stored(_located(found), "spans")
+    tests = stored(_tested(spans.where("clear")).select("row", "span", "n", "encoding", "random", "p"), "tests")
+    kind = F.col("span.kind")
+    base = spans.where(kind != KINDS.index("random")).groupBy("row").agg(  # spans of one text
+        *[F.count_if(kind == i).alias(f"n_{name}") for i, name in enumerate(KINDS[:3])], F.collect_list("span").alias("base")
+    )
+    added = _discovered(tests).groupBy("row").agg(F.collect_list("span").alias("added"))
+    rows = found.select("doc_id", "row").join(base, "row", "left").join(added, "row", "left")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    base, added = F.coalesce("base", none), F.coalesce("added", none)
     return rows.select(
         "doc_id",
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(_named(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _named(F.concat("base", "added")).alias("spans"),
+        *[F.coalesce(f"n_{name}", F.lit(0).cast("long")).alias(f"n_{name}") for name in KINDS[:3]],
+        F.sha2(_named(base).cast("binary"), 256).alias("base_sha256"),
+        _named(F.concat(base, added)).alias("spans"),
     )
 
 

@@ -67,3 +67,23 @@ def test_random_keys_are_found_and_words_are_not(table):
 def test_edge_cases(edge_documents, no_documents):
     assert secret_scans.scanned(edge_documents).count() == edge_documents.count()
     assert secret_scans.scanned(no_documents).count() == 0
+
+
+def test_many_matches_in_one_text(table):
+    """Places and overlaps of thousands of spans of one text."""
+    rng = random.Random(2)
+    kinds = (
+        lambda: "token=" + "".join(rng.choice("abcXYZ789") for _ in range(rng.randrange(6, 30))),
+        lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(rng.randrange(8, 22))),
+        lambda: "%x" % rng.getrandbits(rng.randrange(20, 200)),
+        lambda: "é東",
+        lambda: base64.b64encode(rng.randbytes(30)).decode(),
+    )
+    text = "".join(rng.choice(kinds)() + rng.choice([" ", "", "; "]) for _ in range(6000))
+    rows = [(1, text), (2, "plain words only"), (3, text[:5000])]
+    got = check(secret_scans.scanned(table(rows)), rows)
+    fixed = base(text)
+    added = [tuple(map(int, s.split(":")[1:])) for s in got[1]["spans"].split(",") if s.startswith("random")]
+    candidates = {m.span() for m in re.finditer(secret_scans.CANDIDATE, text)}
+    clear = {(a, e) for a, e in candidates if not any(s < e and a < f for s, _, f in fixed)}
+    assert added and set(added) <= clear
