@@ -388,3 +388,13 @@ def test_block_sizes(spark):
     a = lk.prepared(spark.createDataFrame([("red one",), ("red two",), ("blue",)], "c string"))
     b = lk.prepared(spark.createDataFrame([("red x",), ("green",)], "c string"))
     assert [tuple(r) for r in lk.block_sizes(a, b).collect()] == [("red ", 2, 1, 2)]
+
+
+def test_matching_sends_no_list_to_the_driver(spark):
+    a = lk.prepared(spark.createDataFrame([("red one",), ("red two",), ("blue",)], "c string"))
+    b = lk.prepared(spark.createDataFrame([("red one x",), ("ro",)], "c string"))
+    forms = lk.forms(a), lk.forms(b)
+    scored = lk.match_scored(*forms)
+    for found in (scored, lk.match_rows(a, b, scored), lk.match_best(a, *forms)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
