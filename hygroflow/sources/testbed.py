@@ -184,14 +184,22 @@ class Testbed:
         digits = F.lpad(F.floor(F.col("p_partkey") / 10).cast("string"), 6, "0")
         return self._read("part").withColumn("lot", F.translate(F.reverse(digits), "0123456789", "abcdefghij"))
 
-    def names_a(self) -> DataFrame:
-        return self._lots().select(F.concat_ws(" ", "lot", "p_name", F.lit("Inc.")).alias("company")).distinct()
-
-    def names_b(self) -> DataFrame:
-        """Spellings with the brand appended, and plural forms that share acronyms."""
+    def names_a(self, plain: bool = False) -> DataFrame:
+        """Names of lots and, on request, the plain names of the parts as well."""
+        company = F.concat_ws(" ", "lot", "p_name", F.lit("Inc."))
+        rows = self._lots().select(company.alias("company"))
+        if plain:
+            rows = rows.unionByName(self._read("part").select(F.concat("p_name", F.lit(" Inc.")).alias("company")))
+        return rows.distinct()
+
+    def names_b(self, plain: bool = False) -> DataFrame:
+        """Spellings with the brand appended, and plural forms that share acronyms; plain ones as in ``names_a``."""
         lots = self._lots()
-        branded = lots.select(
-            F.concat(F.upper(F.concat_ws(" ", "lot", "p_name")), F.lit(" & "), "p_brand", F.lit(" GmbH")).alias("company")
-        )
-        plural = lots.select(F.concat(F.concat_ws(" ", "lot", "p_name"), F.lit("s Ltd.")).alias("company"))
-        return branded.unionByName(plural).distinct()
+
+        def spelled(name: Column) -> DataFrame:
+            branded = F.concat(F.upper(name), F.lit(" & "), "p_brand", F.lit(" GmbH"))
+            plural = F.concat(name, F.lit("s Ltd."))
+            return lots.select(branded.alias("company")).unionByName(lots.select(plural.alias("company")))
+
+        rows = spelled(F.concat_ws(" ", "lot", "p_name"))
+        return (rows.unionByName(spelled(F.col("p_name"))) if plain else rows).distinct()

@@ -398,3 +398,12 @@ def test_matching_sends_no_list_to_the_driver(spark):
     for found in (scored, lk.match_rows(a, b, scored), lk.match_best(a, *forms)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_related_pairs_include_containment_below_the_threshold(spark):
+    a = lk.forms(lk.prepared(spark.createDataFrame([("ab cd",), ("ab cd ef",)], "c string")))
+    b = lk.forms(lk.prepared(spark.createDataFrame([("ab cdefgh ijklm nopq rstu vwxyz 0123",), ("ab cd xy",)], "c string")))
+    got = {(r["norm_a"], r["norm_b"]) for r in lk.related_pairs(a, b).collect()}
+    matching = {(r["norm_a"], r["norm_b"]) for r in lk.match_scored(a, b).collect()}
+    low = ("ab cd", "ab cdefgh ijklm nopq rstu vwxyz 0123")
+    assert low in got and low not in matching and matching <= got
