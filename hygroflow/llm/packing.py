@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -52,9 +53,11 @@ _WORKERS: dict[str, WordIds] = {}
 #: version: ASCII without the control characters, letters of Latin-1, dashes and quotes.
 _PLAIN = "\t-\r -~À-ÖØ-öø-ÿ\u2010-\u2027"
 _ODD = re.compile(f"[^{_PLAIN}]|<\\|")
+_PLAIN_ASCII = bytes([*range(9, 14), *range(32, 127)])
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: The tokenizer's own splitting rule, written for plain characters in lower case.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+#: Letters stand first, as most pieces are words; no other branch can start with one.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -81,6 +84,13 @@ class _Remembered(dict):
         return found
 
 
+def _odd(text: str) -> bool:
+    """Does the text hold a character that is not plain, or what may be a special token?"""
+    if text.isascii():
+        return "<|" in text or bool(text.encode().translate(None, _PLAIN_ASCII))
+    return _ODD.search(text) is not None
+
+
 class WordIds:
     """Ids of texts as bytes, four per id, in little-endian order.
 
@@ -96,16 +106,19 @@ class WordIds:
         letters, model = _byte_letters(), whole.model
 
         def of_piece(piece: str) -> bytes:
-            word = "".join([letters[b] for b in piece.encode()])
-            return np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+            # visible ASCII characters are their own letters
+            word = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
+            ids = [t.id for t in model.tokenize(word)]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         def of_chunk(chunk: str) -> bytes:
-            return np.array(whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = whole.encode(chunk, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         self.pieces, self.chunks = _Remembered(of_piece), _Remembered(of_chunk)
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _odd(text):
             return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 

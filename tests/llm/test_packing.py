@@ -62,3 +62,24 @@ def test_edge_cases(edge_documents, no_documents):
     pieces = packing.packed(edge_documents, packing.tokenizer_file()).collect()
     assert sum(p["length"] for p in pieces if p["doc_id"] == 10) == 2 * pieces[[p["doc_id"] for p in pieces].index(10)]["doc_tokens"]
     assert packing.packed(no_documents, packing.tokenizer_file()).count() == 0
+
+
+def test_faster_splitting_keeps_the_rule():
+    import random
+    import re
+
+    rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choices("abst'' 12.<|\té-—\x01", k=rng.randint(0, 12)))
+        assert packing._odd(text) == bool(packing._ODD.search(text))
+        assert packing._PIECE.findall(text) == rule.findall(text)
+
+
+def test_ids_of_a_piece_do_not_depend_on_its_spelling_path():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_file())
+    ids = packing.WordIds(packing.tokenizer_file())
+    for text in ("", "It's 42 well-known (~) words!", "naïve café — don't", "a\x01b <|x|>"):
+        assert np.frombuffer(ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
