@@ -9,6 +9,7 @@ from hygroflow.functions import clock, scoring, student
 from hygroflow.operators import events as ev
 from hygroflow.operators import moments
 from hygroflow.operators import series as sr
+from hygroflow.session import stored
 from hygroflow.settings import AH_EDGES, RH_EDGES, SLOTS, STUDY_CLOCK, Clock, EventWindow
 
 EDGES = {"RH": RH_EDGES, "AH": AH_EDGES}
@@ -50,7 +51,8 @@ def event_net(
 
 def traces(net: DataFrame, wide: DataFrame, window: EventWindow = EventWindow()) -> DataFrame:
     """Zeroed traces of the covered events' anchors."""
-    weighted = net.groupBy(*ev.ANCHOR).agg(F.count(F.lit(1)).alias("n"))
+    # a few rows per minute, read by every series
+    weighted = stored(net.groupBy(*ev.ANCHOR).agg(F.count(F.lit(1)).alias("n")), "weighted_anchors")
     return ev.profile_traces(weighted, wide, window)
 
 
