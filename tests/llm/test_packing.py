@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -65,9 +66,6 @@ def test_edge_cases(edge_documents, no_documents):
 
 
 def test_faster_splitting_keeps_the_rule():
-    import random
-    import re
-
     rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
     rng = random.Random(5)
     for _ in range(2000):
@@ -77,8 +75,6 @@ def test_faster_splitting_keeps_the_rule():
 
 
 def test_ids_of_a_piece_do_not_depend_on_its_spelling_path():
-    from tokenizers import Tokenizer
-
     whole = Tokenizer.from_file(packing.tokenizer_file())
     ids = packing.WordIds(packing.tokenizer_file())
     for text in ("", "It's 42 well-known (~) words!", "naïve café — don't", "a\x01b <|x|>"):
