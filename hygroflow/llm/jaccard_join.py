@@ -556,8 +556,12 @@ class _Join:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    return _Join(docs, Rule(words, num, den)).grouped()
+    """``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    All steps that need Python are stored on the way, in batches of few bytes.
+    """
+    with tables.small_batches(docs.sparkSession):
+        return _Join(docs, Rule(words, num, den)).grouped()
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

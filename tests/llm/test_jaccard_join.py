@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from hygroflow.llm import components, jaccard_join, words
+from hygroflow.llm import components, jaccard_join, tables, words
 
 
 def grams(text, k):
@@ -129,3 +129,23 @@ def test_a_group_of_near_copies_is_not_laid_out_in_pairs(table, monkeypatch):
     assert len({c for _, _, c in want}) > 20
     assert found(jaccard_join.similar_groups(table(rows).repartition(3), 3, 90, 100)) == want
     assert made["met"] + made["close-pairs"] < 260 * 260 / 8
+
+
+def test_texts_travel_in_small_batches(spark, table, monkeypatch):
+    described, most = jaccard_join._described, tables.BATCH_BYTES
+
+    def watched(rule):
+        inner = described(rule)
+
+        def one(batch):
+            assert batch.nbytes < 2 * most, "too much at once"
+            yield from inner(batch)
+
+        return one
+
+    monkeypatch.setattr(jaccard_join, "_described", watched)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = table([(i, " ".join(f"{i}x{k}" for k in range(4000))) for i in range(600)]).coalesce(1)
+    assert jaccard_join.similar_groups(docs, 3, 90).where("component_id = doc_id and n_shingles = 3998").count() == 600
+    assert spark.conf.get(name) == before
