@@ -20,6 +20,7 @@ from hygroflow.operators.quantiles import grouped_median, grouped_quantiles
 from hygroflow.plans import operations as op
 from hygroflow.plans import pump_study as ps
 from hygroflow.plans import slopes as sl
+from hygroflow.session import stored
 from hygroflow.settings import MATCH_WEIGHTS, Clock, MatchRule
 from hygroflow.sources import files, snapshot
 from hygroflow.streaming import incremental as inc
@@ -407,3 +408,11 @@ def test_related_pairs_include_containment_below_the_threshold(spark):
     matching = {(r["norm_a"], r["norm_b"]) for r in lk.match_scored(a, b).collect()}
     low = ("ab cd", "ab cdefgh ijklm nopq rstu vwxyz 0123")
     assert low in got and low not in matching and matching <= got
+
+
+def test_related_pairs_send_no_list_to_the_driver(spark):
+    """Stored forms have a known small size, which would be broadcast."""
+    a = stored(lk.forms(lk.prepared(spark.createDataFrame([("red one",), ("red two",), ("blue",)], "c string"))), "forms")
+    b = stored(lk.forms(lk.prepared(spark.createDataFrame([("red one x",), ("ro",)], "c string"))), "forms")
+    plan = lk.with_parts(lk.related_pairs(a, b))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
