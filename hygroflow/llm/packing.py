@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from hygroflow.llm.tables import read
+from hygroflow.llm.tables import kept_by_worker, read
 
 LENGTH = 2048
 END_ID = 1
@@ -47,7 +47,6 @@ REMEMBERED = 400_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
-_WORKERS: dict[str, WordIds] = {}
 
 #: Characters whose case, composition and class are the same in every Unicode
 #: version: ASCII without the control characters, letters of Latin-1, dashes and quotes.
@@ -124,9 +123,7 @@ class WordIds:
 
 
 def word_ids(file: str) -> WordIds:
-    if file not in _WORKERS:
-        _WORKERS[file] = WordIds(file)
-    return _WORKERS[file]
+    return kept_by_worker(file, lambda: WordIds(file))
 
 
 def placed(lengths: list[int], room: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:

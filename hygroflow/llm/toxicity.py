@@ -46,6 +46,8 @@ STEMS = (4, 5, 6)
 TREES, DEPTH = 20, 4
 #: Words between a hit and a second-person word.
 NEAR = 4
+#: Bytes of text whose features are made at once.  Weights are summed over all of it, so its size shows in last digits.
+SLICE = 1 << 20
 
 #: Signs that stand for letters, and second-person words.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -73,7 +75,7 @@ def entries(data: np.ndarray, firsts: np.ndarray):
 
 def _slices(texts: pa.Array):
     data, offsets = wd.buffers(texts)
-    for at, stop in wd.slices(offsets):
+    for at, stop in wd.slices(offsets, SLICE):
         yield at, stop, data[offsets[at] : offsets[stop]], offsets[at:stop] - offsets[at]
 
 
@@ -146,6 +148,14 @@ def _maxima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counts(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Set flags of every stretch, without a running sum of eight bytes a flag."""
+    out, some = np.zeros(len(bounds) - 1), np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(flags, bounds[:-1][some], dtype=np.int64)
+    return out
+
+
 _YOU = None
 
 
@@ -162,12 +172,14 @@ def features(data: np.ndarray, firsts: np.ndarray, lexicon) -> np.ndarray:
     """Dense features of the texts of a buffer, one row per text."""
     runs, (word, *stems) = entries(data, firsts)
     bounds, bytes_at = runs.bounds, np.append(firsts, len(data))
+    runs.sums = None  # all hashes are made, and the next runs need as much
     words = np.diff(bounds).astype(float)
     per_word, per_byte = np.maximum(words, 1), np.maximum(np.diff(bytes_at), 1)
     by_word = _weights(word, lexicon)
     by_stem = np.maximum.reduce([_weights(s, lexicon) for s in stems])
     alike = wd.Runs(data, firsts, LOOKALIKE)
     by_alike = _weights(alike.hashes(), lexicon)
+    alike.sums = None
     alike_words = np.maximum(np.diff(alike.bounds), 1)
     hit = (by_word > 0) | (by_stem > 0)
     you = np.isin(word, _second_person())
@@ -190,10 +202,11 @@ def features(data: np.ndarray, firsts: np.ndarray, lexicon) -> np.ndarray:
     inside[1:-1] = kinds[7, :-2] & kinds[7, 2:]
     tripled = np.zeros(len(data), bool)
     tripled[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & kinds[7, 2:]
-    capitals = np.concatenate(([0], np.cumsum(kinds[0])))
+    capitals = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kinds[0], out=capitals[1:])
     length = runs.ends - runs.starts
     shouted = (capitals[runs.ends] - capitals[runs.starts] == length) & (length > 1)
-    rate = lambda flags: _sums(flags, bytes_at) / per_byte
+    rate = lambda flags: _counts(flags, bytes_at) / per_byte
     return np.stack(
         [
             np.log1p(words), _maxima(by_word, bounds), _sums(by_word, bounds), _sums(by_word, bounds) / per_word,

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20
+#: Bytes of text at a time; hashing takes some 25 times as much at once.
+SEGMENT = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -93,7 +94,9 @@ class Runs:
         end[:-1] |= inside[:-1] & ~inside[1:]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value[data] * self.power[:n], out=self.sums[1:])
+        placed = value[data]
+        placed *= self.power[:n]
+        np.cumsum(placed, out=self.sums[1:])
         self.bounds = np.append(np.searchsorted(self.starts, firsts), len(self.starts))
 
     def hashes(self, longest: int | None = None) -> np.ndarray:
@@ -127,11 +130,11 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most SEGMENT bytes together, or one longer text."""
+def slices(offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` (SEGMENT) bytes together, or one longer text."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        stop = int(np.searchsorted(offsets, offsets[at] + SEGMENT, "right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[at] + (most or SEGMENT), "right")) - 1
         stop = min(max(stop, at + 1), n)
         yield at, stop
         at = stop

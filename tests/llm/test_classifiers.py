@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hygroflow.llm import language_id, toxicity
@@ -120,6 +122,17 @@ def test_features_see_what_they_name():
     assert f["capital_words"] > 0 and f["exclamations"] > 0 and f["digits_inside"] > 0 and f["tripled"] > 0
 
 
+def test_features_of_a_batch_take_little_memory():
+    texts = pa.array([sentence("aa", 500) for _ in range(1500)])
+    assert texts.nbytes > 3 << 20
+    lexicon = (np.empty(0, np.uint64), np.empty(0))
+    tracemalloc.start()
+    rows = sum(len(toxicity.features(data, firsts, lexicon)) for _, _, data, firsts in toxicity._slices(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and most < 70 << 20
+
+
 def test_scores_do_not_depend_on_the_rates_of_the_sample(spark, monkeypatch):
     rng = random.Random(4)
     docs, labels = [], []

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from hygroflow.llm import packing
+from hygroflow.llm import packing, tables
 
 ODD = [
     "it's 'start' ,'s we'LL DON'T İstanbul ΣΑΣ é a\x1cb <|endoftext|> x<|endoftext|>y ² ½ ª 東京 \u200b …–x",
@@ -79,3 +79,14 @@ def test_ids_of_a_piece_do_not_depend_on_its_spelling_path():
     ids = packing.WordIds(packing.tokenizer_file())
     for text in ("", "It's 42 well-known (~) words!", "naïve café — don't", "a\x01b <|x|>"):
         assert np.frombuffer(ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_another_operators_step_drops_what_packing_kept():
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([])))
+
+    first = packing.word_ids(packing.tokenizer_file())
+    assert packing.word_ids(packing.tokenizer_file()) is first
+    assert tables.whole(Rows(), None, "") == []
+    assert packing.word_ids(packing.tokenizer_file()) is not first

@@ -107,3 +107,23 @@ def test_rows_without_or_with_a_shared_identifier_are_judged_by_their_text(spark
     got = sorted(((r["text"].split()[0], r["doc_id"]) for r in docs.collect()), key=repr)
     assert docs.columns == ["doc_id", "text"]
     assert got == [("a0", 1), ("b0", 1), ("c0", 1), ("d0", None), ("f0", 3), ("h0", None)]
+
+
+def test_stages_read_and_send_texts_in_small_batches(spark, folder):
+    where, _ = folder
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before, seen = {n: spark.conf.get(n) for n in names}, []
+
+    def watched(spark, rows, sf_dir):
+        seen.extend(int(spark.conf.get(n)) for n in names)
+        return rows.limit(0)
+
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        assert corpus_pipeline.filtering(watched)(spark, docs, where).count() == docs.count()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert seen[0] <= 4 << 20 and seen[1] <= 512
