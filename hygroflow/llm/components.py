@@ -54,8 +54,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a long, b long) to (u, v): every node but the smallest of its component, and the smallest."""
-    edges = stored(edges.select("a", "b"), "edges")
+    """``edges`` (a long, b long) to (u, v): every node but the smallest of its component, and the smallest.
+
+    ``edges`` is read twice, so it should be stored.
+    """
+    edges = edges.select("a", "b")
     tasks = 1 + edges.count() // TASK_EDGES
     current = stored(edges.coalesce(tasks).mapInArrow(_contracted, "u long, v long"), "stars")
     seen = None

@@ -108,7 +108,8 @@ def _counted(rows: DataFrame, known=None) -> DataFrame:
 def learned_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and log odds of the entries that speak for the label; ``rows``: text, toxic."""
     toxic, other = rows.where("toxic = 1").select("text"), rows.where("toxic = 0").select("text")
-    n_toxic, n_other = toxic.count(), other.count()
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     often = _counted(toxic).where(F.col("texts") >= LEAST_TEXTS)
     often = often.orderBy(F.desc("texts"), "entry").limit(MOST_CANDIDATES).toPandas()
     often = often.sort_values("entry", key=lambda c: c.to_numpy().view(np.uint64))
@@ -246,7 +247,6 @@ class Scorer:
     def __init__(self, docs: DataFrame, labels: DataFrame):
         known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
         # texts are drawn, not rows, so that each text of a class comes in at the same rate however many copies it has
         keyed = docs.select("doc_id", "text_key").join(known, "doc_id").groupBy("text_key")
@@ -260,7 +260,6 @@ class Scorer:
         # a label table of MOST_TOXIC + MOST_OTHER rows at most, so it may be broadcast
         rows = docs.join(F.broadcast(sample), ["doc_id", "text_key"]).dropDuplicates(["text"])
         rows = stored(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part", "weight"), "labelled")
-        self.share = counts.get(1, 0) / max(1, sum(counts.values()))
         lexicon_rows = rows.where(F.col("part") < LEXICON_SHARE)
         self.lexicon = learned_lexicon(lexicon_rows)
         packed = rows.where(F.col("part") >= LEXICON_SHARE).select("text", F.struct("toxic", "part", "weight").alias("carried"))
@@ -268,16 +267,22 @@ class Scorer:
         label = F.col("toxic").cast("double").alias("label")
         fit = stored(self._vector(fit).select("part", "weight", label, "vector"), "features")
         self.trees = self.curve = None
-        for_trees = fit.where(F.col("part") < LEXICON_SHARE + TREE_SHARE).coalesce(4)
-        if for_trees.agg(F.count_distinct("label")).first()[0] < 2:
+        grows = F.col("part") < LEXICON_SHARE + TREE_SHARE
+        # one job for both parts: each job, however small, takes its share of the driver's memory
+        of_part = fit.groupBy(grows.alias("grows")).agg(F.min("label"), F.max("label")).collect()
+        both = {r["grows"] for r in of_part if r["min(label)"] != r["max(label)"]}
+        if True not in both:
+            counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+            self.share = counts.get(1, 0) / max(1, sum(counts.values()))
             return
+        for_trees = fit.where(grows).coalesce(4)
         trees = GBTClassifier(
             featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=17,
             maxMemoryInMB=64,
         )
         self.trees = trees.fit(for_trees)
-        rest = self._raw(fit.where(F.col("part") >= LEXICON_SHARE + TREE_SHARE)).select("raw", "label", "weight").coalesce(4)
-        if rest.agg(F.count_distinct("label")).first()[0] == 2:
+        if False in both:
+            rest = self._raw(fit.where(~grows)).select("raw", "label", "weight").coalesce(4)
             curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score")
             self.curve = curve.fit(rest)
 

@@ -149,3 +149,20 @@ def test_scores_do_not_depend_on_the_rates_of_the_sample(spark, monkeypatch):
     got = [r for r in toxicity.scores(docs, labels).collect() if r["doc_id"] % 5 == 0]
     assert np.mean([r["score"] for r in got]) < 0.45
     assert np.mean([r["predicted"] for r in got]) < 0.1
+
+
+def test_fitting_asks_for_few_results(labelled, monkeypatch):
+    docs, labels, _ = labelled
+    asked, frame = [], type(docs)
+    for name in ("collect", "count", "first", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), n=name: asked.append(n) or f(self, *a))
+    scorer = toxicity.Scorer(docs, labels)
+    assert scorer.trees is not None and scorer.curve is not None
+    assert len(asked) <= 5
+
+
+def test_share_without_trees(spark):
+    docs = spark.createDataFrame([(i, f"tha ing {i}") for i in range(40)], "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(40)], "doc_id long, toxic int")
+        assert {r["score"] for r in toxicity.scores(docs, labels).collect()} == {float(label)}

@@ -149,3 +149,19 @@ def test_texts_travel_in_small_batches(spark, table, monkeypatch):
     docs = table([(i, " ".join(f"{i}x{k}" for k in range(4000))) for i in range(600)]).coalesce(1)
     assert jaccard_join.similar_groups(docs, 3, 90).where("component_id = doc_id and n_shingles = 3998").count() == 600
     assert spark.conf.get(name) == before
+
+
+def test_stored_edges_are_not_written_again(spark, monkeypatch):
+    from hygroflow.llm import components as cc
+
+    edges, written = cc.stored(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"), "given"), []
+    monkeypatch.setattr(cc, "stored", lambda df, label, f=cc.stored: written.append(label) or f(df, label))
+    assert sorted(map(tuple, cc.components(edges).collect())) == [(2, 1), (3, 1), (8, 7)]
+    assert written == ["stars"]
+
+
+def test_dropped_keys_are_dealt_once(spark, table):
+    rows, gone = table([(1, "a"), (2, "b"), (2, "c"), (None, "d")]), table([(2, ""), (2, ""), (None, "")])
+    left = tables.without(rows, "doc_id", gone)
+    assert "keys=[__key" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"] for r in left.collect()) == ["a", "d"]
