@@ -391,6 +391,28 @@ def test_block_sizes(spark):
     assert [tuple(r) for r in lk.block_sizes(a, b).collect()] == [("red ", 2, 1, 2)]
 
 
+@pytest.mark.parametrize("size", [2, 1000])  # many tiles and one tile per block
+def test_candidates_are_all_pairs_of_a_block(spark, size):
+    left = ["red one", "red two", "red two", "Red Two", "blue", "", None, *[f"red {k}" for k in range(7)]]
+    right = ["red x", "red x", "RED y!", "green", "Ltd", None, *[f"red {k}" for k in range(5)]]
+    a, b = (lk.prepared(spark.createDataFrame([(n,) for n in names], "c string")) for names in (left, right))
+    expected = sorted((x["block"], x["raw"], y["raw"]) for x in a.collect() for y in b.collect() if x["block"] == y["block"] is not None)
+    pairs = lk.candidates(a, b, size)
+    rows = [tuple(r) for r in pairs.collect()]
+    assert sorted((block, x, y) for block, x, _, y, _ in rows) == expected and len(expected) == 11 * 8 + 1
+    assert len(set(rows)) == len(rows)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_block_sizes_count_the_candidates(spark, monkeypatch):
+    a = lk.prepared(spark.createDataFrame([("red one",), ("red one",), ("red two",), ("blue",)], "c string"))
+    b = lk.prepared(spark.createDataFrame([("red x",), ("red y",), ("blue",)], "c string"))
+    assert sorted(map(tuple, lk.block_sizes(a, b).collect())) == [("blue", 1, 1, 1), ("red ", 3, 2, 6)]
+    monkeypatch.setattr(lk, "candidates", lambda a, b, f=lk.candidates: f(a, b).where("raw_a != 'red two'"))
+    assert sorted(map(tuple, lk.block_sizes(a, b).collect())) == [("blue", 1, 1, 1), ("red ", 2, 2, 4)]
+
+
 def test_matching_sends_no_list_to_the_driver(spark):
     a = lk.prepared(spark.createDataFrame([("red one",), ("red two",), ("blue",)], "c string"))
     b = lk.prepared(spark.createDataFrame([("red one x",), ("ro",)], "c string"))
