@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from hygroflow.llm import html_extraction as he
 
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body>
@@ -80,3 +84,88 @@ def test_longest_common_order():
         got = he.in_order(a, b)
         assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def _pairs_by_definition(a, b, weights):
+    """Size of the match of two trees and their pairs of runs, from the whole table of weighted alignment."""
+    left, right = he.runs(a), he.runs(b)
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, (key, ours) in enumerate(left, 1):
+        for j, (other, theirs) in enumerate(right, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1])
+            if key == other:
+                if (id(ours[0]), id(theirs[0])) not in weights:
+                    weights[id(ours[0]), id(theirs[0])] = _pairs_by_definition(ours[0], theirs[0], weights)[0] + 1
+                best[i][j] = max(best[i][j], best[i - 1][j - 1] + weights[id(ours[0]), id(theirs[0])])
+    pairs, i, j = set(), len(left), len(right)
+    while i and j:
+        ours, theirs = left[i - 1], right[j - 1]
+        if ours[0] == theirs[0] and best[i][j] == best[i - 1][j - 1] + weights[id(ours[1][0]), id(theirs[1][0])]:
+            pairs.add((id(ours[1][0]), id(theirs[1][0])))
+            pairs |= _pairs_by_definition(ours[1][0], theirs[1][0], weights)[1]
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return best[-1][-1], pairs
+
+
+def _random_html(rng, n, depth):
+    out = ""
+    for _ in range(n):
+        below = _random_html(rng, rng.randrange(4), depth - 1) if depth and rng.random() < 0.5 else "t"
+        out += f"<div class={rng.choice('abcd')}>{below}</div>"
+    return out
+
+
+def _matches_by_definition(first, second):
+    a, b = he.parsed(first), he.parsed(second)
+    size, top = he.matched(a, b)
+    pairs, todo = set(), [top]
+    while todo:
+        for ours, theirs, below in todo.pop():
+            pairs.add((id(ours[0]), id(theirs[0])))
+            todo.append(below)
+    return (size, pairs) == _pairs_by_definition(a, b, {})
+
+
+def test_long_lists_are_matched_by_all_that_lies_below():
+    rng = random.Random(4)
+    first = _random_html(rng, 400, 2)
+    tail = _random_html(rng, 40, 2)
+    assert min(len(he.runs(he.parsed(x))) for x in (first, tail + first)) > 200
+    assert _matches_by_definition(first, _random_html(rng, 400, 2))
+    assert _matches_by_definition(first, tail + first[:4000] + tail + first[4000:] + tail)
+    # a long list that is not the whole page
+    assert _matches_by_definition(f"<div>{tail}</div><p>x</p><div>{first}</div>", f"<div>{first}{tail}</div><p>y</p><div>{tail}</div>")
+
+
+@pytest.mark.parametrize("slack", [1, 5, 256])
+def test_the_band_of_an_alignment_holds_its_pairs(slack, monkeypatch):
+    monkeypatch.setattr(he, "LARGE", 0)
+    monkeypatch.setattr(he, "SLACK", slack)
+    monkeypatch.setattr(he, "REMEMBERED", 10)
+    for seed in range(60):
+        rng = random.Random(seed)
+        first = _random_html(rng, rng.randrange(25), 3)
+        assert _matches_by_definition(first, _random_html(rng, rng.randrange(25), 3))
+        assert _matches_by_definition(first, _random_html(rng, 3, 2) + first + _random_html(rng, 2, 2))
+
+
+def test_template_in_long_lists_is_found_by_what_lies_below():
+    rest = "".join(f"<h2>Head {{i}} {k}</h2><p>Text {{i}} {k}</p>" for k in range(125))
+    light = "<section><h4>Lead {i}</h4></section><h3>Note {i}</h3>"
+    page = "<section><ul><li>Terms of use.</ul><table><tr><td>Offer {i}</table></section>" + rest
+    texts = he.extracted([(light * (i % 2) + page).format(i=i) for i in range(10)])
+    assert not any("Terms" in t for t in texts)
+    assert all(f"Offer {i}" in t and t.count("Text") == 125 for i, t in enumerate(texts))
+
+
+def test_shapes_that_are_forgotten_change_nothing(monkeypatch):
+    rng = random.Random(1)
+    pages = [_random_html(rng, 30, 2) + "<p>Terms of use.</p>" for _ in range(12)]
+    texts = he.extracted(pages)
+    monkeypatch.setattr(he, "SHAPES", 3)
+    monkeypatch.setattr(he, "ROWS", 1)
+    assert he.extracted(pages) == texts
