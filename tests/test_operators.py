@@ -403,6 +403,7 @@ def test_candidates_are_all_pairs_of_a_block(spark, size):
     assert len(set(rows)) == len(rows)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "REPARTITION_BY_NUM" in plan  # not put together by their few bytes
 
 
 def test_block_sizes_count_the_candidates(spark, monkeypatch):
